@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from befundwerk.llm.mojibake import misread
 from befundwerk.llm.mix import mix_sources
 from befundwerk.llm.pieces import split_documents
 from befundwerk.llm.tokens import encode_texts
 from befundwerk.session import table
 
 
+MISREAD_FIELDS = ("epikrise", "jetziges_leiden", "prozedere")
+
+
+def p1_texte(spark: SparkSession, d: str) -> DataFrame:
+    """Wrongly read field values with the restored text."""
+    return misread(table(spark, d, "berichte"), "report_nr", MISREAD_FIELDS).withColumnRenamed("nr", "report_nr")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Field values in which signs were replaced by reading bytes in a wrong code page."""
+    return p1_texte(spark, d).select("report_nr", "feld")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return encode_texts(table(spark, d, "documents"), "doc_id", "text")
@@ -30,6 +44,6 @@ def p8_stuecke(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(table(spark, d, "documents"), table(spark, d, "teil_grenzen"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_mix, p7_anteile, p8_stuecke)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_texte, p6_ids, p7_mix, p7_anteile, p8_stuecke)}
 
 SQL: dict[str, str] = {}
