@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from befundwerk.llm.mojibake import misread
 from befundwerk.llm.mix import mix_sources
+from befundwerk.llm.pii import name_words, personal_data, redacted
 from befundwerk.llm.pieces import split_documents
 from befundwerk.llm.tokens import encode_texts
 from befundwerk.session import table
@@ -24,6 +26,23 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_texte(spark, d).select("report_nr", "feld")
 
 
+PERSONAL_FIELDS = ("epikrise", "jetziges_leiden", "diag")
+
+
+def _names(spark: SparkSession, d: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    return name_words([table(spark, d, "patienten"), table(spark, d, "personal")])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every mention of personal data, numbered per kind in its field."""
+    return personal_data(table(spark, d, "berichte"), "report_nr", PERSONAL_FIELDS, _names(spark, d)).select(F.col("nr").alias("report_nr"), "feld", "art", "lfd")
+
+
+def p3_texte(spark: SparkSession, d: str) -> DataFrame:
+    """The reports' texts with placeholders."""
+    return redacted(table(spark, d, "berichte"), "report_nr", PERSONAL_FIELDS, _names(spark, d)).withColumnRenamed("nr", "report_nr")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return encode_texts(table(spark, d, "documents"), "doc_id", "text")
@@ -44,6 +63,6 @@ def p8_stuecke(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(table(spark, d, "documents"), table(spark, d, "teil_grenzen"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_texte, p6_ids, p7_mix, p7_anteile, p8_stuecke)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_texte, p3_found, p3_texte, p6_ids, p7_mix, p7_anteile, p8_stuecke)}
 
 SQL: dict[str, str] = {}
