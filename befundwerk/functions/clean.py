@@ -46,7 +46,7 @@ def truthy(c: Column | str) -> Column:
 
 
 #: Date spellings that are tried in this order.
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "dd.MM.yyyy", "yyyy/MM/dd")
+DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "dd.MM.yyyy", "dd.MM.yy", "yyyy/MM/dd")
 
 
 def parse_date(c: Column | str) -> Column:
