@@ -201,7 +201,7 @@ class Finder:
         for a, z, kinds in spans:
             if i := _INITIAL.search(s, max(0, a - 4), a):
                 a0 = i.start() + 1
-            elif a >= 3 and s[a - 2 : a] == ". " and s[a - 3].isupper() and not s[a - 4 : a - 3].isalnum():
+            elif a >= 3 and s[a - 2 : a] == ". " and s[a - 3].isupper() and (a == 3 or s[a - 4] in " (\n\t"):
                 a0 = a - 3
             else:
                 a0 = a
