@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from befundwerk.functions.clean import clean_id
 from befundwerk.operators.skew import heavy_keys, salted_join
+from befundwerk.session import cut_lineage
 
 #: A key with more than this share of all references is spread; so at most 256 keys are broadcast.
 HOT_SHARE = 1 / 256
@@ -28,7 +29,7 @@ def orphans(refs: DataFrame, parents: DataFrame, key: str, since: str, until: st
     deletion count. A row without a time is a case only if the parent is missing. Repeated rows are
     cases of their own. Empty inputs give no rows; further columns are ignored.
     """
-    keys = refs.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("zeit").alias("t0"), F.max("zeit").alias("t1"))
+    keys = cut_lineage(refs.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("zeit").alias("t0"), F.max("zeit").alias("t1")))
     held = parents.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(since).alias("ab"), F.min(until).alias("bis"))
     missing = keys.join(held, "id", "left_anti").select("id", F.lit(None).cast("timestamp_ntz").alias("ab"), F.lit(None).cast("timestamp_ntz").alias("bis"), F.lit(True).alias("fehlt"))
     outside = (F.col("ab") > F.col("t0")) | (F.col("bis") <= F.col("t1"))

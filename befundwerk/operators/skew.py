@@ -42,7 +42,7 @@ def eager_join(left: DataFrame, right: DataFrame, on: Sequence[str], sums: dict[
 def heavy_keys(state: DataFrame, key: str, share: float) -> DataFrame:
     """The keys of ``state`` with more than ``share`` of all rows: fewer than 1/share of them, whatever the input."""
     total = state.agg(F.sum("n").alias("_total"))
-    return state.join(F.broadcast(total), F.col("n") > F.col("_total") * share).select(key)
+    return state.filter(F.col("n") > total.scalar() * share).select(key)
 
 
 def salted_join(rows: DataFrame, keyed: DataFrame, key: str, hot: DataFrame, spread: Column, salts: int = 32, how: str = "inner") -> DataFrame:
