@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_object(text: str | None) -> str | None:
@@ -23,7 +24,7 @@ def first_object(text: str | None) -> str | None:
     return text.strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_objects(texts: pd.Series) -> pd.Series:
     return texts.map(first_object)
 
@@ -37,6 +38,6 @@ def lenient(text: Column, schema: str) -> Column:
 
 def distinct_terms(xs: Column, most: int = 10) -> Column:
     """Trimmed terms, the first of those that differ in case only, at most ``most``."""
-    clean = F.filter(F.transform(F.coalesce(xs, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    clean = F.filter(F.transform(F.coalesce(xs, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     once = F.aggregate(clean, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda o: F.lower(o) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
     return F.slice(once, 1, most)

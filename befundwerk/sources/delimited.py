@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from befundwerk.functions.clean import strip
+from befundwerk.session import cut_lineage
+
 #: Encodings that are tried in this order; the last fits any bytes.
 ENCODINGS = ("utf-8", "utf-16", "cp1252", "latin-1")
 _JVM = {"utf-8": "UTF-8", "utf-16": "UTF-16", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}
@@ -56,7 +59,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str
         return (_from_cp1252(df) if encoding == "cp1252" else df), df.limit(0).select(F.lit(None).cast("string").alias("zeile"))
     schema = T.StructType([*fields, T.StructField("_roh", T.StringType())])
     df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_roh").schema(schema).csv(path)
-    df = _from_cp1252(df) if encoding == "cp1252" else df
+    df = cut_lineage(_from_cp1252(df) if encoding == "cp1252" else df)  # parsed once; Spark refuses queries of the raw record alone
     bare = F.regexp_replace("_roh", r'"([^"]|"")*"', "")
     long = F.col("_roh").isNotNull() & (F.regexp_count(bare, F.lit("\\Q" + sep + "\\E")) >= len(names))
     return df.filter(~F.coalesce(long, F.lit(False))).select(*names), df.filter(long).select(F.col("_roh").alias("zeile"))
@@ -90,7 +93,7 @@ def read_entries(spark: SparkSession, path: str, names: Sequence[str] = ("Patien
     one = spark.read.text(path, wholetext=True).select(F.posexplode(parts).alias("nr", "e")).filter(F.col("e").rlike(rf"(?s)^{head}"))
     cells = F.split("e", ";", len(names))
     df = one.select("nr", *(F.trim(cells[i]).alias(c) for i, c in enumerate(names)))
-    return df.filter(F.col(names[0]) != names[0]).withColumn(names[-1], F.rtrim(F.regexp_replace(names[-1], r"\n\s*\n", "\n")))
+    return df.filter(F.col(names[0]) != names[0]).withColumn(names[-1], strip(F.regexp_replace(names[-1], r"\n\s*\n", "\n")))
 
 
 def unpack_first_column(df: DataFrame, first: str, rest: str, names: Sequence[str]) -> DataFrame:
