@@ -86,7 +86,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: int | None = None, s
     wide = "decimal(38,0)"
     below = Window.partitionBy("source").orderBy(F.col("n_tokens").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     h = hist.join(plan_df, "source").withColumn("bis", F.sum("n").over(below))
-    part = lambda c: F.floor(c.cast(wide) * F.col("rest") / F.col("vorrat"))
+    bulk = F.greatest(F.col("rest") - FIT_TOKENS, F.lit(0))  # what is left is for fit, so that it has records to choose from
+    part = lambda c: F.floor(c.cast(wide) * bulk / F.col("vorrat"))
     h = h.withColumn("mehr", (part(F.col("bis")) - part(F.col("bis") - F.col("n"))).cast("long"))
     h = h.withColumn("mehr", F.least("mehr", "n"))
     base = {r["source"]: r["t"] for r in h.groupBy("source").agg(F.sum(F.col("mehr") * F.col("n_tokens")).alias("t")).collect()}

@@ -111,7 +111,7 @@ def _piece(d: Document, a: int, last: int, most: int, overlap: int) -> tuple[int
         if i + room >= n_ids:
             z = len(d.data)
         else:
-            low, half, high = max(last, int(d.starts[i + overlap + 1])), int(d.starts[i + room // 2]), int(d.starts[i + room])
+            low, half, high = max(last, int(d.starts[min(i + overlap + 1, n_ids)])), int(d.starts[i + room // 2]), int(d.starts[i + room])
             z = d.cut(low, max(low, half), high) or max(d.whole(high), _next_char(d.data, a))
         n = d.count(a, z)
         if n <= most or room <= 4:
