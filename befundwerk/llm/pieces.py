@@ -33,7 +33,7 @@ class Document:
         lines = np.flatnonzero(end) + 1
         lines = lines[lines < len(b)]
         blank = lines[_line_is_blank(b, space, lines)]
-        top = blank[~space[b_at(b, blank)]] if len(blank) else blank
+        top = blank[~space[blank]]
         #: From the best kind to the least: a blank line before a line that isn't indented, a blank line, a line, a word.
         self.kinds = (top, blank, lines, self.safe)
 
@@ -65,10 +65,6 @@ class Document:
         return 0
 
 
-def b_at(b: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return b[np.minimum(places, len(b) - 1)]
-
-
 def _line_is_blank(b: np.ndarray, space: np.ndarray, lines: np.ndarray) -> np.ndarray:
     """Whether the line that ends before each place holds white space only."""
     if not len(lines):
