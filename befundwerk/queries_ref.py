@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from befundwerk.functions.clean import clean_id, clean_label, flag, number, parse_date, strip, truthy
 from befundwerk.functions.evidence import bundle, evidence, reduce_text, spans
+from befundwerk.functions.schema import fold, require, shorten, with_defaults
 from befundwerk.functions.terms import EXCLUDED_TYPE, HINTS, MATRIX_TYPES, SECTIONS, STEMS, WORD_PATTERNS, contains_any, occurrences, word_match
 from befundwerk.operators.baseline import baseline, code_flags, confusion, id_sets, long_form, main_diagnosis, max_scores, odds, valid_code
 from befundwerk.operators.skew import rank_within
+from befundwerk.plans.pick import sequential_pick
 from befundwerk.queries_core import sql_id, sql_label, sql_strip
 from befundwerk.session import table
 
@@ -568,3 +570,92 @@ def dt1_daten(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "berichte").select("report_nr", parse_date("berdat").alias("ts"))
 
 
+
+
+# ---- further projections, joins and sets
+
+
+@query(f"""SELECT baseline_nr, {sql_id('"PatientenID"')} AS "PatientenID", '' AS anmerkung, '' AS bewertung FROM structured_baseline""")
+def prj2_prj4_prj26_spalten(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical id column, required columns, empty columns for annotation."""
+    b = require(fold(table(spark, d, "structured_baseline"), {"PatientenID": ("PatientID",)}), ["PatientenID", "max_icdsc"], "structured_baseline")
+    return with_defaults(b.select("baseline_nr", clean_id("PatientenID").alias("PatientenID")), ["anmerkung", "bewertung"])
+
+
+@query(f"""WITH {_R} SELECT report_nr, CASE WHEN length({_TXT}) > 80 THEN substring(lower({_TXT}), 1, 79) || '…' ELSE lower({_TXT}) END AS blob FROM r""")
+def prj19_txt22_blob(spark: SparkSession, d: str) -> DataFrame:
+    """All text fields in lower case, shortened with an ellipsis."""
+    return reports(spark, d).select("report_nr", shorten(F.lower(F.concat_ws(" ", *FIELDS)), 80).alias("blob"))
+
+
+@query(f"""WITH {_R}, p AS (SELECT pid, row_number() OVER (ORDER BY pid) AS p FROM (SELECT DISTINCT pid FROM r WHERE pid <> ''))
+SELECT report_nr, printf('Patient_%04d', p) AS patient, printf('Patient_%04d_Report_%04d', p, row_number() OVER (PARTITION BY pid ORDER BY eingang NULLS LAST, report_nr)) AS bericht FROM r JOIN p USING (pid)""")
+def prj22_kennungen(spark: SparkSession, d: str) -> DataFrame:
+    """Neutral identifiers of patients and their reports; numbers run within ranges of ids, so nothing is sorted in one task."""
+    r = reports(spark, d).filter("pid <> ''").select("report_nr", "pid", "eingang")
+    p = rank_within(r.select("pid").distinct().withColumn("_a", F.lit(1)), ["_a"], F.substring("pid", 1, 5), [F.col("pid")], "p").select("pid", "p")
+    n = rank_within(r, ["pid"], F.to_date("eingang"), [F.col("eingang").asc_nulls_last(), F.col("report_nr")], "n").join(p, "pid")
+    return n.select("report_nr", F.format_string("Patient_%04d", "p").alias("patient"), F.format_string("Patient_%04d_Report_%04d", "p", "n").alias("bericht"))
+
+
+@query(f"WITH {_CMP} SELECT j.report_nr, j.klasse, length({_TXT}) AS zeichen FROM j LEFT JOIN r ON j.report_nr = r.report_nr WHERE j.da")
+def jn10_text(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluable reports beside their text."""
+    t = reports(spark, d).select("report_nr", big(F.length(F.concat_ws(" ", *FIELDS)), "zeichen"))
+    return comparison(spark, d).filter("da").select("report_nr", F.col("klasse").cast("int").alias("klasse")).join(t, "report_nr", "left")
+
+
+@query(f"""WITH {_R}, {_B}, x AS (SELECT pid, bool_or({_word(_TXT)}) AS wort FROM r GROUP BY pid) SELECT coalesce(x.pid, b.pid) AS pid, coalesce(x.wort, false) AS wort, coalesce(b.has_code, 0) AS has_code, coalesce(b.ge_4, 0) AS ge_4 FROM x FULL JOIN b ON x.pid = b.pid""")
+def jn11_aussen(spark: SparkSession, d: str) -> DataFrame:
+    """Word matches per patient beside the baseline, missing sides false and 0."""
+    x = reports(spark, d).select("pid", word_match(F.concat_ws(" ", *FIELDS), WORD_PATTERNS, STEMS).alias("w")).groupBy("pid").agg(F.bool_or("w").alias("wort"))
+    return x.join(base(spark, d).select("pid", "has_code", "ge_4"), "pid", "outer").select("pid", F.coalesce("wort", F.lit(False)).alias("wort"), F.coalesce("has_code", F.lit(0)).alias("has_code"), F.coalesce("ge_4", F.lit(0)).alias("ge_4"))
+
+
+_ZAEHL = {"berichte": "report_nr", "icd": "icd_nr", "icdsc": "icdsc_nr"}
+
+
+@query(f"""SELECT pid, count(*) FILTER (t = 'berichte') AS berichte, count(*) FILTER (t = 'icd') AS icd, count(*) FILTER (t = 'icdsc') AS icdsc FROM ({' UNION ALL '.join(f'''SELECT {sql_id('"PatientID"')} AS pid, '{t}' AS t FROM {t}''' for t in _ZAEHL)}) GROUP BY pid""")
+def jn12_set1_zeilen(spark: SparkSession, d: str) -> DataFrame:
+    """Rows per id and table: one union and one grouping for a chain of outer joins."""
+    one = [table(spark, d, t).select(clean_id("PatientID").alias("pid"), F.lit(t).alias("t")) for t in _ZAEHL]
+    return one[0].unionByName(one[1]).unionByName(one[2]).groupBy("pid").agg(*(F.count_if(F.col("t") == t).alias(t) for t in _ZAEHL))
+
+
+@query(f"""WITH {_R}, {_B}, a AS (SELECT pid, max(klasse) AS irgend FROM r WHERE {_IN} GROUP BY pid) SELECT r.report_nr, r.klasse, a.irgend, b.ge_4, CAST(a.irgend <> b.ge_4 AS INTEGER) AS abweichung FROM r JOIN a ON r.pid = a.pid LEFT JOIN b ON r.pid = b.pid WHERE {_IN}""")
+def jn14_prj24_bogen(spark: SparkSession, d: str) -> DataFrame:
+    """Annotation sheet: report, patient state, baseline; a difference is null without a baseline."""
+    r = reports(spark, d).filter(F.col("typ") != EXCLUDED_TYPE).select("report_nr", "pid", "klasse")
+    a = r.groupBy("pid").agg(F.max("klasse").alias("irgend"))
+    j = r.join(a, "pid").join(base(spark, d).select("pid", "ge_4"), "pid", "left")
+    return j.select("report_nr", "klasse", "irgend", "ge_4", (F.col("irgend") != F.col("ge_4")).cast("int").alias("abweichung"))
+
+
+_IDS = {t: f"SELECT DISTINCT {sql_id('\"PatientID\"')} AS pid FROM {t}" for t in ("icd", "icdsc")}
+
+
+@query(f"SELECT 'schnitt' AS menge, pid FROM (({_IDS['icd']}) INTERSECT ({_IDS['icdsc']})) UNION ALL SELECT 'nur_icd', pid FROM (({_IDS['icd']}) EXCEPT ({_IDS['icdsc']})) UNION ALL SELECT 'vereinigung', pid FROM (({_IDS['icd']}) UNION ({_IDS['icdsc']}))")
+def set2_set3_set4_mengen(spark: SparkSession, d: str) -> DataFrame:
+    """Intersection, difference and union of two id sets."""
+    a, b = (table(spark, d, t).select(clean_id("PatientID").alias("pid")) for t in ("icd", "icdsc"))
+    name = lambda df, n: df.select(F.lit(n).alias("menge"), "pid")
+    return name(a.intersect(b), "schnitt").unionByName(name(a.distinct().exceptAll(b.distinct()), "nur_icd")).unionByName(name(a.union(b).distinct(), "vereinigung"))
+
+
+@query(f"WITH {_R} SELECT report_nr, pid, typ, ts FROM r ORDER BY pid, ts NULLS LAST, report_nr")
+def srt1_sortiert(spark: SparkSession, d: str) -> DataFrame:
+    """Stable order over several keys, missing dates last; the range sort spreads by all keys."""
+    return reports(spark, d).select("report_nr", "pid", "typ", "ts").orderBy("pid", F.col("ts").asc_nulls_last(), "report_nr")
+
+
+@query()
+def srt4_auswahl(spark: SparkSession, d: str) -> DataFrame:
+    """Sequential stratified pick of 40 patients over overlapping groups, without repeats."""
+    return sequential_pick(jn4_matrix(spark, d), "pid", ["abweichung = 1", "modell = 1 AND ge_4 = 1", "irgend = 1", "ge_4 = 1", "modell = 0"], 40).select("pid", "gruppe")
+
+
+@query(f"""WITH {_R} SELECT report_nr, array_to_string(list_filter([{', '.join(f"CASE WHEN contains(lower({_TXT}), '{k}') THEN '{k}' END" for k in HINTS)}], lambda x: x IS NOT NULL)[1:12], ' || ') AS stellen FROM r""")
+def txt19_stellen(spark: SparkSession, d: str) -> DataFrame:
+    """Terms found per report in the list's order, joined."""
+    low = F.lower(F.concat_ws(" ", *FIELDS))
+    return reports(spark, d).select("report_nr", F.array_join(F.slice(F.array_compact(F.array(*(F.when(low.contains(k), F.lit(k)) for k in HINTS))), 1, 12), " || ").alias("stellen"))

@@ -147,3 +147,16 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.typ, r.n) for r in spark.table("ankunft").collect()) == [("", 1), ("A", 2)]
+
+
+def test_schema(spark):
+    from befundwerk.functions.schema import SchemaError, assert_binary, fold, require, shorten, with_defaults
+
+    df = spark.createDataFrame([("1", "2", "3", 1)], " PatientID string, Code string, PatientenID string, k int")
+    assert fold(df).columns == ["icd_code", "PatientenID", "k"]
+    with pytest.raises(SchemaError, match="icd_code"):
+        require(df, ["icd_code"], "icd")
+    assert with_defaults(df, ["neu"]).first().neu == "" and assert_binary(df, "k").first().k == 1
+    with pytest.raises(Exception, match="not binary"):
+        assert_binary(df.withColumn("k", F.lit(2)), "k").collect()
+    assert [r[0] for r in spark.createDataFrame([("abcd",), ("abc",), (None,)], "t string").select(shorten(F.col("t"), 3)).collect()] == ["ab…", "abc", None]
