@@ -10,7 +10,8 @@ from befundwerk.functions.evidence import bundle, evidence, reduce_text, spans
 from befundwerk.functions.schema import fold, require, shorten, with_defaults
 from befundwerk.functions.terms import EXCLUDED_TYPE, HINTS, MATRIX_TYPES, SECTIONS, STEMS, WORD_PATTERNS, contains_any, occurrences, word_match
 from befundwerk.operators.baseline import baseline, code_flags, confusion, id_sets, long_form, main_diagnosis, max_scores, odds, valid_code
-from befundwerk.operators.skew import rank_within
+from befundwerk.operators.orphans import HOT_SHARE
+from befundwerk.operators.skew import heavy_keys, rank_within, salted_join, states
 from befundwerk.plans.pick import sequential_pick
 from befundwerk.queries_core import sql_id, sql_label, sql_strip
 from befundwerk.session import table
@@ -54,6 +55,12 @@ def base(spark: SparkSession, d: str) -> DataFrame:
     return b.withColumn("code_flag", F.col("has_code"))
 
 
+def beside(rows: DataFrame, keyed: DataFrame, how: str = "inner") -> DataFrame:
+    """Report rows joined with one row per patient, the rows of hot patients spread over tasks."""
+    hot = heavy_keys(states(rows.select("pid"), ["pid"]), "pid", HOT_SHARE)
+    return salted_join(rows, keyed, "pid", hot, F.col("report_nr"), how=how)
+
+
 # ---- SQL building blocks
 
 
@@ -175,7 +182,7 @@ _CMP = f"{_R}, {_B}, j AS (SELECT r.report_nr, r.pid, r.typ, r.klasse, b.pid IS
 def comparison(spark: SparkSession, d: str) -> DataFrame:
     """Reports that count, beside the baseline of their patient (JN-2); few columns of few patients are on the right."""
     r = reports(spark, d).filter((F.col("pid") != "") & (F.col("typ") != EXCLUDED_TYPE)).select("report_nr", "pid", "typ", "klasse")
-    return r.join(base(spark, d).select("pid", *FLAGS, F.lit(True).alias("da")), "pid", "left").withColumn("da", F.coalesce("da", F.lit(False)))
+    return beside(r, base(spark, d).select("pid", *FLAGS, F.lit(True).alias("da")), "left").withColumn("da", F.coalesce("da", F.lit(False)))
 
 
 @query(f"WITH {_CMP} SELECT report_nr, pid, klasse, da, {', '.join(f'CAST(klasse = {c} AS INTEGER) AS gleich_{c}' for c in FLAGS)} FROM j")
@@ -216,7 +223,7 @@ SELECT r.typ, CASE WHEN q.pid IS NULL THEN 'missing_prediction' WHEN r.klasse =
 def jn5_prj20_status(spark: SparkSession, d: str) -> DataFrame:
     """Report spine beside a later delivery: processing status with defaults."""
     q = table(spark, d, "rohzeilen").filter("datei = 'ICDSC.csv'").select(F.regexp_extract("zeile", '^"?([0-9]+)"?;', 1).alias("pid")).filter("pid IS NOT NULL").groupBy("pid").agg(F.lit(1).alias("q"))
-    j = reports(spark, d).select("pid", "typ", "klasse").join(q, "pid", "left")
+    j = beside(reports(spark, d).select("report_nr", "pid", "typ", "klasse"), q, "left")
     return j.groupBy("typ", F.when(F.col("q").isNull(), "missing_prediction").when(F.col("klasse") == 0, "skipped").otherwise("processed").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -338,7 +345,7 @@ _SUB = f"{_KW}, {_B}, q AS (SELECT k.begriff, k.n, k.klasse, b.ge_4 FROM k JOIN
 UNION ALL SELECT CASE WHEN klasse = 1 AND ge_4 = 1 THEN 'TP' WHEN klasse = 1 THEN 'FP' WHEN ge_4 = 1 THEN 'FN' ELSE 'TN' END, begriff, n FROM q) SELECT menge, begriff, CAST(sum(n) AS BIGINT) AS vorkommen, count(*) FILTER (n > 0) AS berichte FROM u GROUP BY ALL""")
 def agg18_agg20_mengen(spark: SparkSession, d: str) -> DataFrame:
     """Terms by overlapping subsets and by error kind, from one scan (AGG-18, AGG-20)."""
-    q = keyword_rows(spark, d).join(base(spark, d).select("pid", "ge_4"), "pid")
+    q = beside(keyword_rows(spark, d), base(spark, d).select("pid", "ge_4"))
     pos, ref = F.col("klasse") == 1, F.col("ge_4") == 1
     sets = F.array(F.lit("alle"), F.when(pos, "klasse_1"), F.when(ref, "ge_4"), F.when(pos & ref, "TP").when(pos, "FP").when(ref, "FN").otherwise("TN"))
     return q.select("begriff", "n", F.explode(F.array_compact(sets)).alias("menge")).groupBy("menge", "begriff").agg(F.sum("n").alias("vorkommen"), F.count_if(F.col("n") > 0).alias("berichte"))
@@ -481,7 +488,7 @@ def win1_agg47_patientenlabel(spark: SparkSession, d: str) -> DataFrame:
     """Patient label on every report: a state per patient joined back, not a window over a hot patient."""
     r = reports(spark, d).filter("pid <> ''").select("report_nr", "pid", "klasse")
     s = r.groupBy("pid").agg(F.max("klasse").alias("patient"), F.sum("klasse").alias("positive"))
-    return r.select("report_nr", "pid").join(s, "pid").select("report_nr", "patient", "positive")
+    return beside(r.select("report_nr", "pid"), s).select("report_nr", "patient", "positive")
 
 
 @query(f"WITH {_R} SELECT report_nr, row_number() OVER (PARTITION BY pid ORDER BY ts NULLS LAST, typ, report_nr) AS nr FROM r")
@@ -627,7 +634,7 @@ def jn14_prj24_bogen(spark: SparkSession, d: str) -> DataFrame:
     """Annotation sheet: report, patient state, baseline; a difference is null without a baseline."""
     r = reports(spark, d).filter(F.col("typ") != EXCLUDED_TYPE).select("report_nr", "pid", "klasse")
     a = r.groupBy("pid").agg(F.max("klasse").alias("irgend"))
-    j = r.join(a, "pid").join(base(spark, d).select("pid", "ge_4"), "pid", "left")
+    j = beside(r, a.join(base(spark, d).select("pid", "ge_4"), "pid", "left"))
     return j.select("report_nr", "klasse", "irgend", "ge_4", (F.col("irgend") != F.col("ge_4")).cast("int").alias("abweichung"))
 
 
