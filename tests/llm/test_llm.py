@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from befundwerk.llm.mix import fit, mix_sources
-from befundwerk.llm.mojibake import RUN, learn, misread, repair, runs, swaps, tally
+from befundwerk.llm.mojibake import RUN, Model, learn, misread, repair, runs, swaps, tally
 from befundwerk.llm.pieces import split_documents, split_text
 from befundwerk.llm.pii import Finder, check_digit, misread_forms, number_mentions, personal_data, redact, redacted
 from befundwerk.llm.tokens import codec, count_tokens, encode_texts, rank_file
@@ -158,6 +158,15 @@ def test_misread_found_and_restored(spark):
     assert misread(df.limit(0), "nr", ["a", "b"]).count() == 0 and not tally(df.limit(0), ["a"])
 
 
+def test_long_runs_are_decided_alone():
+    model = learn({("f", "Ã¼", "r"): 5, ("f", "ü", "r"): 500, (" ", "Ã¤", "h"): 5, (" ", "ä", "h"): 500})
+    word = "приветствиепривет"
+    assert repair(word, model) is None
+    assert repair(word.encode().decode("cp1251"), Model(weights={"utf-8>cp1251": 0.5})) == (word, False)
+    assert repair("日" * 20 + "\ufffd", model) == ("日" * 20 + "\ufffd", True)
+    assert repair("fÃ¼r", model) == ("für", False)
+
+
 def test_swaps_restore_what_they_wrote():
     by = {w.name: w for w in swaps()}
     assert by["utf-8>cp1252"].restore("Ã¼") == "ü" and by["utf-8>cp1252 twice"].restore("ÃƒÂ¼") == "ü"
