@@ -323,10 +323,10 @@ _OCC = lambda k, c="txt": f"((length(lower({c})) - length(replace(lower({c}), '{
 _TXT = "concat_ws(' ', diag, epikrise, jetziges_leiden, prozedere)"
 
 
-def keyword_rows(spark: SparkSession, d: str) -> DataFrame:
+def keyword_rows(spark: SparkSession, d: str, terms: tuple[str, ...] = _TERMS) -> DataFrame:
     """One row per report and term with its occurrences, from one pass over the text."""
     r = reports(spark, d).withColumn("txt", F.concat_ws(" ", *FIELDS))
-    return r.select("report_nr", "pid", "typ", "klasse", F.explode(F.array(*(F.struct(F.lit(k).alias("begriff"), big(occurrences(F.col("txt"), k), "n")) for k in _TERMS))).alias("x")).select("report_nr", "pid", "typ", "klasse", "x.begriff", "x.n")
+    return r.select("report_nr", "pid", "typ", "klasse", F.explode(F.array(*(F.struct(F.lit(k).alias("begriff"), big(occurrences(F.col("txt"), k), "n")) for k in terms))).alias("x")).select("report_nr", "pid", "typ", "klasse", "x.begriff", "x.n")
 
 
 _KW = f"{_R}, t AS (SELECT report_nr, pid, typ, klasse, {_TXT} AS txt FROM r), k AS (" + " UNION ALL ".join(f"SELECT report_nr, pid, typ, klasse, '{k}' AS begriff, {_OCC(k)} AS n FROM t" for k in _TERMS) + ")"
@@ -334,8 +334,12 @@ _KW = f"{_R}, t AS (SELECT report_nr, pid, typ, klasse, {_TXT} AS txt FROM r), k
 
 @query(f"WITH {_KW} SELECT begriff, CAST(sum(n) AS BIGINT) AS vorkommen, count(*) FILTER (n > 0) AS berichte, round(coalesce(avg(klasse) FILTER (n > 0), 0), 6) AS p_klasse FROM k GROUP BY 1")
 def agg17_agg19_begriffe(spark: SparkSession, d: str) -> DataFrame:
-    """Term totals, reports with the term and the share of positives among them (AGG-17, AGG-19, AGG-34, TXT-2)."""
-    return keyword_rows(spark, d).groupBy("begriff").agg(F.sum("n").alias("vorkommen"), F.count_if(F.col("n") > 0).alias("berichte"), F.round(F.coalesce(F.avg(F.when(F.col("n") > 0, F.col("klasse"))), F.lit(0.0)), 6).alias("p_klasse"))
+    """Totals of the list's first eleven terms only; agg17_agg19_begriffe_ganz has all."""
+    return term_totals(keyword_rows(spark, d))
+
+
+def term_totals(k: DataFrame) -> DataFrame:
+    return k.groupBy("begriff").agg(F.sum("n").alias("vorkommen"), F.count_if(F.col("n") > 0).alias("berichte"), F.round(F.coalesce(F.avg(F.when(F.col("n") > 0, F.col("klasse"))), F.lit(0.0)), 6).alias("p_klasse"))
 
 
 _SUB = f"{_KW}, {_B}, q AS (SELECT k.begriff, k.n, k.klasse, b.ge_4 FROM k JOIN b ON k.pid = b.pid)"
@@ -344,8 +348,12 @@ _SUB = f"{_KW}, {_B}, q AS (SELECT k.begriff, k.n, k.klasse, b.ge_4 FROM k JOIN
 @query(f"""WITH {_SUB}, u AS (SELECT 'alle' AS menge, begriff, n FROM q UNION ALL SELECT 'klasse_1', begriff, n FROM q WHERE klasse = 1 UNION ALL SELECT 'ge_4', begriff, n FROM q WHERE ge_4 = 1
 UNION ALL SELECT CASE WHEN klasse = 1 AND ge_4 = 1 THEN 'TP' WHEN klasse = 1 THEN 'FP' WHEN ge_4 = 1 THEN 'FN' ELSE 'TN' END, begriff, n FROM q) SELECT menge, begriff, CAST(sum(n) AS BIGINT) AS vorkommen, count(*) FILTER (n > 0) AS berichte FROM u GROUP BY ALL""")
 def agg18_agg20_mengen(spark: SparkSession, d: str) -> DataFrame:
-    """Terms by overlapping subsets and by error kind, from one scan (AGG-18, AGG-20)."""
-    q = beside(keyword_rows(spark, d), base(spark, d).select("pid", "ge_4"))
+    """The first eleven terms by subset; agg18_agg20_mengen_ganz has all."""
+    return term_sets(spark, d, keyword_rows(spark, d))
+
+
+def term_sets(spark: SparkSession, d: str, k: DataFrame) -> DataFrame:
+    q = beside(k, base(spark, d).select("pid", "ge_4"))
     pos, ref = F.col("klasse") == 1, F.col("ge_4") == 1
     sets = F.array(F.lit("alle"), F.when(pos, "klasse_1"), F.when(ref, "ge_4"), F.when(pos & ref, "TP").when(pos, "FP").when(ref, "FN").otherwise("TN"))
     return q.select("begriff", "n", F.explode(F.array_compact(sets)).alias("menge")).groupBy("menge", "begriff").agg(F.sum("n").alias("vorkommen"), F.count_if(F.col("n") > 0).alias("berichte"))
@@ -353,8 +361,12 @@ def agg18_agg20_mengen(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_KW} SELECT begriff, {', '.join(f'''CAST(coalesce(sum(n) FILTER (typ = '{t}'), 0) AS BIGINT) AS {t.lower()}''' for t in MATRIX_TYPES)} FROM k GROUP BY 1")
 def agg21_breit(spark: SparkSession, d: str) -> DataFrame:
-    """Terms by report type as a wide table."""
-    w = keyword_rows(spark, d).groupBy("begriff").pivot("typ", list(MATRIX_TYPES)).agg(F.sum("n")).fillna(0)
+    """The first eleven terms by report type; agg21_breit_ganz has all."""
+    return terms_wide(keyword_rows(spark, d))
+
+
+def terms_wide(k: DataFrame) -> DataFrame:
+    w = k.groupBy("begriff").pivot("typ", list(MATRIX_TYPES)).agg(F.sum("n")).fillna(0)
     return w.select("begriff", *(F.col(t).alias(t.lower()) for t in MATRIX_TYPES))
 
 
@@ -505,10 +517,15 @@ def win7_doppelte(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_KW}, g AS (SELECT typ, begriff, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY ALL) SELECT typ, begriff, n, rn FROM (SELECT *, row_number() OVER (PARTITION BY typ ORDER BY n DESC, begriff) AS rn FROM g) WHERE rn <= 3")
 def srt2_spitze(spark: SparkSession, d: str) -> DataFrame:
+    """Three of the first eleven terms per report type; srt2_spitze_ganz keeps fifteen of all."""
+    return leading_terms(keyword_rows(spark, d), 3)
+
+
+def leading_terms(k: DataFrame, most: int) -> DataFrame:
     """Leading terms per report type; ties by the term."""
-    g = keyword_rows(spark, d).groupBy("typ", "begriff").agg(F.sum("n").alias("n"))
+    g = k.groupBy("typ", "begriff").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("typ").orderBy(F.desc("n"), "begriff")
-    return g.withColumn("rn", F.row_number().over(w).cast("bigint")).filter("rn <= 3")
+    return g.withColumn("rn", F.row_number().over(w).cast("bigint")).filter(F.col("rn") <= most)
 
 
 @query(f"WITH {_R} SELECT pid, min(report_nr) AS erster FROM r WHERE pid <> '' GROUP BY 1 ORDER BY erster LIMIT 20")
@@ -666,3 +683,34 @@ def txt19_stellen(spark: SparkSession, d: str) -> DataFrame:
     """Terms found per report in the list's order, joined."""
     low = F.lower(F.concat_ws(" ", *FIELDS))
     return reports(spark, d).select("report_nr", F.array_join(F.slice(F.array_compact(F.array(*(F.when(low.contains(k), F.lit(k)) for k in HINTS))), 1, 12), " || ").alias("stellen"))
+
+
+# ---- whole term lists and baselines; their SQL spells the lists out, so that it doesn't follow a cut of the tuples
+
+_ALL = "(VALUES ('delir'), ('delirium'), ('delirant'), ('delirös'), ('verwirrt'), ('verwirrtheit'), ('desorientiert'), ('desorientierung'), ('agitation'), ('agitiert'), ('unruhig'), ('vigilanz'), ('vigilanzminderung'), ('somnolent'), ('soporös'), ('bewusstseinsstörung'), ('bewusstseinstrübung'))"
+_KG = f"""{_R}, t AS (SELECT report_nr, pid, typ, klasse, lower({_TXT}) AS txt FROM r), k AS (SELECT report_nr, pid, typ, klasse, begriff, (length(txt) - length(replace(txt, begriff, ''))) // length(begriff) AS n FROM t, {_ALL} v(begriff))"""
+
+
+@query(f"WITH {_KG} SELECT begriff, CAST(sum(n) AS BIGINT) AS vorkommen, count(*) FILTER (n > 0) AS berichte, round(coalesce(avg(klasse) FILTER (n > 0), 0), 6) AS p_klasse FROM k GROUP BY 1")
+def agg17_agg19_begriffe_ganz(spark: SparkSession, d: str) -> DataFrame:
+    """Term totals, reports with the term and the share of positives among them (AGG-17, AGG-19, AGG-34, TXT-2)."""
+    return term_totals(keyword_rows(spark, d, HINTS))
+
+
+@query(f"""WITH {_KG}, {_B}, q AS (SELECT k.begriff, k.n, k.klasse, b.ge_4 FROM k JOIN b ON k.pid = b.pid), u AS (SELECT 'alle' AS menge, begriff, n FROM q UNION ALL SELECT 'klasse_1', begriff, n FROM q WHERE klasse = 1 UNION ALL SELECT 'ge_4', begriff, n FROM q WHERE ge_4 = 1
+UNION ALL SELECT CASE WHEN klasse = 1 AND ge_4 = 1 THEN 'TP' WHEN klasse = 1 THEN 'FP' WHEN ge_4 = 1 THEN 'FN' ELSE 'TN' END, begriff, n FROM q) SELECT menge, begriff, CAST(sum(n) AS BIGINT) AS vorkommen, count(*) FILTER (n > 0) AS berichte FROM u GROUP BY ALL""")
+def agg18_agg20_mengen_ganz(spark: SparkSession, d: str) -> DataFrame:
+    """Terms by overlapping subsets and by error kind, from one scan (AGG-18, AGG-20)."""
+    return term_sets(spark, d, keyword_rows(spark, d, HINTS))
+
+
+@query(f"WITH {_KG} SELECT begriff, {', '.join(f'''CAST(coalesce(sum(n) FILTER (typ = '{t}'), 0) AS BIGINT) AS {t.lower()}''' for t in MATRIX_TYPES)} FROM k GROUP BY 1")
+def agg21_breit_ganz(spark: SparkSession, d: str) -> DataFrame:
+    """Terms by report type as a wide table."""
+    return terms_wide(keyword_rows(spark, d, HINTS))
+
+
+@query(f"WITH {_KG}, g AS (SELECT typ, begriff, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY ALL) SELECT typ, begriff, n, rn FROM (SELECT *, row_number() OVER (PARTITION BY typ ORDER BY n DESC, begriff) AS rn FROM g) WHERE rn <= 15")
+def srt2_spitze_ganz(spark: SparkSession, d: str) -> DataFrame:
+    """The fifteen leading terms per report type; ties by the term (SRT-2)."""
+    return leading_terms(keyword_rows(spark, d, HINTS), 15)
