@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from befundwerk.functions.terms import GROUPS, HINTS, SECTION_ORDER, SECTIONS
+from befundwerk.functions.clean import strip
+from befundwerk.functions.terms import GROUPS, HINTS, SECTION_ORDER, SECTIONS, contains_any, occurrences
 
 
 @dataclass(frozen=True)
@@ -148,3 +149,60 @@ def _reduced(text: Column, places: Column, around: int, total: int) -> Column:
     wide = F.transform(places, lambda s: F.struct(F.greatest(s["a"] - around, F.lit(0)).cast("int").alias("a"), F.least(s["z"] + around, F.length(text)).cast("int").alias("z")))
     cut = F.transform(merge_intervals(wide), lambda s: F.substring(text, s["a"] + 1, s["z"] - s["a"]))
     return F.substring(F.when(F.size(places) > 0, F.array_join(cut, " ... ")).otherwise(text), 1, total)
+
+
+# Fixed values of the reduction: the order of sections and the caps of texts without a hint.
+REDUCED = (("diag", "[Diagnosen]", 3000), ("jetziges_leiden", "[Jetziges Leiden]", 2000), ("prozedere", "[Prozedere]", 1000), ("epikrise", "[Epikrise]", 1000))
+_HEADING = r"\[(Diagnosen|Jetziges Leiden|Prozedere|Epikrise)\]"
+
+
+def report_sections(text: Column) -> Column:
+    """A stitched report as a map of section to body in the order of the reduction (TXT-17).
+
+    Bodies of a repeated heading are joined; what lies before the first heading belongs to none; a
+    text without headings is all diag. Sections that are missing are empty.
+    """
+    return let(F.struct(F.split(text, _HEADING, -1).alias("parts"), F.regexp_extract_all(text, F.lit(_HEADING), 0).alias("heads")), lambda x: _sections(x["parts"], x["heads"]))
+
+
+def _sections(parts: Column, heads: Column) -> Column:
+    bodies = F.arrays_zip(heads.alias("h"), F.slice(parts, 2, F.size(heads)).alias("b"))
+    body = lambda h: F.array_join(F.transform(F.filter(bodies, lambda x: x["h"] == h), lambda x: strip(x["b"])), "\n\n")
+    plain = F.when(F.size(heads) == 0, strip(F.element_at(parts, 1))).otherwise(body("[Diagnosen]"))
+    return F.create_map(*(x for s, h, _ in REDUCED for x in (F.lit(s), plain if s == "diag" else body(h))))
+
+
+def reduce_report(text: Column, around: int = 1000, total: int = 8000) -> Column:
+    """A stitched report shortened section by section: text, method, length before, hits (TXT-18).
+
+    Sections with hints give their merged windows, the course text at most its cap; without any hint every
+    section is cut to its cap, and a text without headings is dealt out over the caps in turn. Null stays null.
+    """
+    return let(strip(text), lambda t: F.when(t.isNotNull(), let(report_sections(t), lambda s: _shortened(t, s, around, total))))
+
+
+def _shortened(text: Column, sections: Column, around: int, total: int) -> Column:
+    filled = F.filter(F.array(*(F.struct(F.lit(s).alias("s"), F.lit(h).alias("h"), F.lit(cap).alias("cap"), F.element_at(sections, s).alias("b")) for s, h, cap in REDUCED)), lambda x: x["b"] != "")
+    join = lambda blocks: F.array_join(blocks, "\n\n")
+    hit = F.filter(filled, lambda x: contains_any(x["b"], HINTS))
+    windows = F.transform(hit, lambda x: let(hint_windows(x["b"], around), lambda w: F.concat(x["h"], F.lit("\n"), F.when(x["s"] == "epikrise", F.substring(w, 1, 1000)).otherwise(w))))
+    capped = F.transform(filled, lambda x: F.concat(x["h"], F.lit("\n"), x["b"].substr(F.lit(1), x["cap"])))
+    starts = [1 + sum(c for *_, c in REDUCED[:i]) for i in range(len(REDUCED))]
+    dealt = F.filter(F.array(*(F.struct(F.lit(h).alias("h"), F.substring(text, a, cap).alias("b")) for (_, h, cap), a in zip(REDUCED, starts, strict=True))), lambda x: x["b"] != "")
+    plain = F.transform(dealt, lambda x: F.concat(x["h"], F.lit("\n"), x["b"]))
+    out = F.when(F.size(hit) > 0, join(windows)).when(F.rlike(text, F.lit(_HEADING)) & (F.size(filled) > 0), join(capped)).otherwise(join(plain))
+    return F.struct(
+        strip(F.substring(out, 1, total)).alias("text"),
+        F.when(F.size(hit) > 0, "keyword_windows").otherwise("fallback_truncation").alias("method"),
+        F.length(text).alias("original_len"),
+        sum((F.when(F.lower(text).contains(k), occurrences(text, k)).otherwise(0) for k in HINTS), F.lit(0)).cast("int").alias("hits"),
+    )
+
+
+def hint_windows(body: Column, around: int) -> Column:
+    """The merged windows around a section's hints, stripped and joined (TXT-15, TXT-16)."""
+    none = F.array().cast("array<struct<a:int,z:int,term:string,kind:string>>")
+    places = let(F.lower(body), lambda low: F.concat(*(F.when(low.contains(t), _starts(low, t, "hint")).otherwise(none) for t in HINTS)))
+    wide = F.transform(places, lambda s: F.struct(F.greatest(s["a"] - around, F.lit(0)).cast("int").alias("a"), F.least(s["z"] + around, F.length(body)).cast("int").alias("z")))
+    cut = F.transform(merge_intervals(wide), lambda s: strip(F.substring(body, s["a"] + 1, s["z"] - s["a"])))
+    return F.array_join(F.filter(cut, lambda x: x != ""), "\n\n...\n\n")

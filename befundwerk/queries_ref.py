@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from befundwerk.functions.clean import clean_id, clean_label, flag, number, parse_date, strip, truthy
-from befundwerk.functions.evidence import bundle, evidence, reduce_text, spans
+from befundwerk.functions.evidence import bundle, evidence, reduce_report, spans
 from befundwerk.functions.schema import fold, require, shorten, with_defaults
 from befundwerk.functions.terms import EXCLUDED_TYPE, HINTS, MATRIX_TYPES, SECTIONS, STEMS, WORD_PATTERNS, contains_any, occurrences, word_match
 from befundwerk.operators.baseline import baseline, code_flags, confusion, id_sets, long_form, main_diagnosis, max_scores, odds, valid_code
@@ -578,8 +578,9 @@ def txt5_txt13_belege(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def txt15_txt18_kuerzung(spark: SparkSession, d: str) -> DataFrame:
-    """Texts reduced to merged windows around hints."""
-    return reports(spark, d).select("report_nr", reduce_text(F.col("epikrise"), 60, 400).alias("t")).select("report_nr", F.length("t").alias("zeichen"), F.md5("t").alias("inhalt")).filter("zeichen IS NOT NULL")
+    """Stitched reports reduced to windows of 1000 signs around hints or to the sections' caps, 8000 in all (TXT-15 to TXT-18)."""
+    r = reports(spark, d).select("report_nr", stitched().alias("t")).select("report_nr", reduce_report(F.col("t")).alias("x")).filter("x IS NOT NULL")
+    return r.select("report_nr", F.length("x.text").alias("zeichen"), F.md5("x.text").alias("inhalt"), F.col("x.method").alias("verfahren"), F.col("x.original_len").alias("vorher"), F.col("x.hits").alias("treffer"))
 
 
 @query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL")

@@ -4,6 +4,7 @@ from pathlib import Path
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -29,3 +30,32 @@ def test_all_terms(spark):
     assert {r.begriff for r in rows(spark, "agg18_agg20_mengen_ganz")} == {r.begriff for r in rows(spark, "agg21_breit_ganz")} == SEVENTEEN
     top = rows(spark, "srt2_spitze_ganz")
     assert all(sorted(r.rn for r in top if r.typ == t) == list(range(1, 16)) for t in {r.typ for r in top})
+
+
+def test_reports_reduced_by_section(spark):
+    from befundwerk.functions.evidence import reduce_report
+
+    a, b = "a" * 3500, "b" * 1500
+    course = "[Epikrise]\n" + "x" * 1200 + " delir " + "y" * 1200 + " vigilanz."
+    texts = [
+        f"[Diagnosen]\n{a}\n\n[Epikrise]\n{b}\n\n[Prozedere]\n{b}\n\n[Diagnosen]\nnoch",
+        a + "b" * 2500,
+        f"vorn [Epikrise]\nohne\n\n[Diagnosen]\n{a} Verwirrt {a}\n\n[Prozedere]\nunruhig",
+        course,
+        "[Diagnosen] ",
+        " ",
+        None,
+    ]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    got = [r.x for r in df.select("i", reduce_report(F.col("t")).alias("x")).orderBy("i").collect()]
+    assert got[0].text == f"[Diagnosen]\n{a[:3000]}\n\n[Prozedere]\n{b[:1000]}\n\n[Epikrise]\n{b[:1000]}" and got[0].method == "fallback_truncation"
+    assert got[1].text == f"[Diagnosen]\n{a[:3000]}\n\n[Jetziges Leiden]\n{a[:500]}{'b' * 1500}\n\n[Prozedere]\n{'b' * 1000}"
+    assert got[2].text == f"[Diagnosen]\n{a[:999]} Verwirrt {a[:999]}\n\n[Prozedere]\nunruhig" and (got[2].method, got[2].hits) == ("keyword_windows", 2)
+    assert got[3].text == "[Epikrise]\n" + "x" * 999 and got[3].hits == 2
+    assert got[4].text == "[Diagnosen]\n[Diagnosen]" and got[5].text == "" and got[6] is None
+
+
+@tables
+def test_every_section_is_reduced(spark):
+    got = rows(spark, "txt15_txt18_kuerzung")
+    assert len(got) == sum(any(x.strip() not in ("", "nan") for x in r) for r in texts()) and max(r.zeichen for r in got) > 400
