@@ -248,8 +248,12 @@ def jn7_win3_datum(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_R}, {_B}, h AS (SELECT pid, max(CASE WHEN contains(lower(coalesce(epikrise, '')), 'delir') THEN 1 ELSE 0 END) AS epikrise_hinweis FROM r GROUP BY 1) SELECT epikrise_hinweis, ge_4, count(*) AS n FROM h JOIN b ON h.pid = b.pid GROUP BY ALL""")
 def jn8_hinweise(spark: SparkSession, d: str) -> DataFrame:
-    """Patient hints joined with the baseline (JN-8, JN-9)."""
-    h = reports(spark, d).groupBy("pid").agg(F.max(flag(contains_any(F.col("epikrise"), ["delir"]))).alias("epikrise_hinweis"))
+    """Patient hints of one term; jn8_hinweise_ganz has all."""
+    return hints_by_score(spark, d, ("delir",))
+
+
+def hints_by_score(spark: SparkSession, d: str, terms: tuple[str, ...]) -> DataFrame:
+    h = reports(spark, d).groupBy("pid").agg(F.max(flag(contains_any(F.col("epikrise"), terms))).alias("epikrise_hinweis"))
     return h.join(base(spark, d), "pid").groupBy("epikrise_hinweis", "ge_4").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -300,21 +304,30 @@ _HF = ", ".join(f"max(CASE WHEN contains(lower(coalesce({c}, '')), 'delir') OR c
 _HINT = f"{_R}, {_B}, h AS (SELECT pid, {_HF} FROM r GROUP BY pid), x AS (SELECT h.*, ge_4, has_code, composite FROM h JOIN b ON h.pid = b.pid)"
 
 
-def hints(spark: SparkSession, d: str) -> DataFrame:
-    return reports(spark, d).groupBy("pid").agg(*(F.max(flag(contains_any(F.col(c), ["delir", "verwirrt"]))).alias(c) for c in FIELDS))
+def hints(spark: SparkSession, d: str, terms: tuple[str, ...] = ("delir", "verwirrt")) -> DataFrame:
+    return reports(spark, d).groupBy("pid").agg(*(F.max(flag(contains_any(F.col(c), terms))).alias(c) for c in FIELDS))
 
 
 @query("WITH " + _HINT + ", f AS (" + " UNION ALL ".join(f"SELECT pid, '{c}' AS feld, {c} AS wert, ge_4, has_code, composite FROM x" for c in FIELDS) + "), l AS (" + " UNION ALL ".join(f"SELECT feld, wert, '{o}' AS ziel, {o} AS ausgang FROM f" for o in ("ge_4", "has_code", "composite")) + "), " + _odds("l", "feld, ziel", "wert", "ausgang"))
 def agg13_agg14_odds(spark: SparkSession, d: str) -> DataFrame:
-    """Odds ratios of field hints against outcomes (AGG-13, AGG-14, AGG-15)."""
-    x = hints(spark, d).join(base(spark, d).select("pid", "ge_4", "has_code", "composite"), "pid")
+    """Odds ratios of two terms' field hints; agg13_agg14_odds_ganz has all terms."""
+    return hint_odds(spark, d, hints(spark, d))
+
+
+def hint_odds(spark: SparkSession, d: str, h: DataFrame) -> DataFrame:
+    x = h.join(base(spark, d).select("pid", "ge_4", "has_code", "composite"), "pid")
     one = long_form(x, ["ge_4", "has_code", "composite"], list(FIELDS))
     return odds(long_form(one, ["feld", "wert"], ["ge_4", "has_code", "composite"], "ziel", "ausgang"), ["feld", "ziel"], "wert", "ausgang")
 
 
 @query(f"WITH {_HINT} SELECT {', '.join(f'round(avg({c}), 6) AS {c}' for c in FIELDS)}, round(avg(epikrise * diag), 6) AS beide FROM x")
 def agg16_praevalenz(spark: SparkSession, d: str) -> DataFrame:
-    x = hints(spark, d).join(base(spark, d).select("pid"), "pid")
+    """Prevalence of two terms' field hints; agg16_praevalenz_ganz has all terms."""
+    return hint_prevalence(spark, d, hints(spark, d))
+
+
+def hint_prevalence(spark: SparkSession, d: str, h: DataFrame) -> DataFrame:
+    x = h.join(base(spark, d).select("pid"), "pid")
     return x.agg(*(F.round(F.avg(c), 6).alias(c) for c in FIELDS), F.round(F.avg(F.col("epikrise") * F.col("diag")), 6).alias("beide"))
 
 
@@ -715,3 +728,31 @@ def agg21_breit_ganz(spark: SparkSession, d: str) -> DataFrame:
 def srt2_spitze_ganz(spark: SparkSession, d: str) -> DataFrame:
     """The fifteen leading terms per report type; ties by the term (SRT-2)."""
     return leading_terms(keyword_rows(spark, d, HINTS), 15)
+
+
+#: The field hints' terms: the list, and the spellings without umlauts that one of the two analyses adds.
+FIELD_HINTS = (*HINTS, "hypoaktives delir", "hyperaktives delir", "deliros", "soporos", "bewusstseinsstorung", "bewusstseinstrubung")
+_ANY = "delir|verwirrt|desorientiert|desorientierung|agitation|agitiert|unruhig|vigilanz|somnolent|soporös|bewusstseinsstörung|bewusstseinstrübung"
+_ANY_PLAIN = _ANY + "|soporos|bewusstseinsstorung|bewusstseinstrubung"
+
+
+def _field_hints(terms: str) -> str:
+    return f"{_R}, {_B}, h AS (SELECT pid, {', '.join(f"max(CASE WHEN regexp_matches(lower(coalesce({c}, '')), '{terms}') THEN 1 ELSE 0 END) AS {c}" for c in FIELDS)} FROM r GROUP BY pid), x AS (SELECT h.*, ge_4, has_code, composite FROM h JOIN b ON h.pid = b.pid)"
+
+
+@query(f"WITH {_field_hints(_ANY_PLAIN)} SELECT epikrise AS epikrise_hinweis, ge_4, count(*) AS n FROM x GROUP BY ALL")
+def jn8_hinweise_ganz(spark: SparkSession, d: str) -> DataFrame:
+    """Patient hints joined with the baseline (JN-8, JN-9)."""
+    return hints_by_score(spark, d, FIELD_HINTS)
+
+
+@query("WITH " + _field_hints(_ANY_PLAIN) + ", f AS (" + " UNION ALL ".join(f"SELECT pid, '{c}' AS feld, {c} AS wert, ge_4, has_code, composite FROM x" for c in FIELDS) + "), l AS (" + " UNION ALL ".join(f"SELECT feld, wert, '{o}' AS ziel, {o} AS ausgang FROM f" for o in ("ge_4", "has_code", "composite")) + "), " + _odds("l", "feld, ziel", "wert", "ausgang"))
+def agg13_agg14_odds_ganz(spark: SparkSession, d: str) -> DataFrame:
+    """Odds ratios of field hints against outcomes (AGG-13, AGG-14)."""
+    return hint_odds(spark, d, hints(spark, d, FIELD_HINTS))
+
+
+@query(f"WITH {_field_hints(_ANY)} SELECT {', '.join(f'round(avg({c}), 6) AS {c}' for c in FIELDS)}, round(avg(epikrise * diag), 6) AS beide FROM x")
+def agg16_praevalenz_ganz(spark: SparkSession, d: str) -> DataFrame:
+    """Prevalence of field hints; the reference takes its list without the extra spellings here (AGG-16)."""
+    return hint_prevalence(spark, d, hints(spark, d, HINTS))

@@ -59,3 +59,13 @@ def test_reports_reduced_by_section(spark):
 def test_every_section_is_reduced(spark):
     got = rows(spark, "txt15_txt18_kuerzung")
     assert len(got) == sum(any(x.strip() not in ("", "nan") for x in r) for r in texts()) and max(r.zeichen for r in got) > 400
+
+
+@tables
+def test_field_hints_of_all_terms(spark):
+    few, whole = rows(spark, "agg16_praevalenz")[0], rows(spark, "agg16_praevalenz_ganz")[0]
+    assert all(whole[c] >= few[c] for c in FIELDS) and whole.epikrise > few.epikrise and whole.jetziges_leiden > few.jetziges_leiden
+    exposed = lambda name: sum(r.a + r.b for r in rows(spark, name))
+    assert exposed("agg13_agg14_odds_ganz") > exposed("agg13_agg14_odds")
+    hit = lambda name: sum(r.n for r in rows(spark, name) if r.epikrise_hinweis == 1)
+    assert hit("jn8_hinweise_ganz") > hit("jn8_hinweise")
