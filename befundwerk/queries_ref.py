@@ -179,10 +179,10 @@ def prj17_prj18_text(spark: SparkSession, d: str) -> DataFrame:
 _CMP = f"{_R}, {_B}, j AS (SELECT r.report_nr, r.pid, r.typ, r.klasse, b.pid IS NOT NULL AS da, {', '.join('b.' + c for c in FLAGS)} FROM r LEFT JOIN b ON r.pid = b.pid WHERE r.pid <> '' AND {_IN})"
 
 
-def comparison(spark: SparkSession, d: str) -> DataFrame:
+def comparison(spark: SparkSession, d: str, flags: tuple[str, ...] = FLAGS) -> DataFrame:
     """Reports that count, beside the baseline of their patient (JN-2); few columns of few patients are on the right."""
     r = reports(spark, d).filter((F.col("pid") != "") & (F.col("typ") != EXCLUDED_TYPE)).select("report_nr", "pid", "typ", "klasse")
-    return beside(r, base(spark, d).select("pid", *FLAGS, F.lit(True).alias("da")), "left").withColumn("da", F.coalesce("da", F.lit(False)))
+    return beside(r, base(spark, d).select("pid", *flags, F.lit(True).alias("da")), "left").withColumn("da", F.coalesce("da", F.lit(False)))
 
 
 @query(f"WITH {_CMP} SELECT report_nr, pid, klasse, da, {', '.join(f'CAST(klasse = {c} AS INTEGER) AS gleich_{c}' for c in FLAGS)} FROM j")
@@ -287,7 +287,7 @@ def agg3_agg4_patiententext(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_CMP}, l AS ({_long('j', 'klasse, da', FLAGS)}), e AS (SELECT * FROM l WHERE da), {_metrics('e', 'feld', 'wert', 'klasse')}")
 def agg8_agg10_metriken(spark: SparkSession, d: str) -> DataFrame:
-    """Confusion counts and rates of the reports against every baseline, in one pass (AGG-8, AGG-9, AGG-10, AGG-12)."""
+    """Confusion counts and rates of the reports against seven baselines, in one pass; agg8_agg10_metriken_ganz has all ten."""
     return confusion(long_form(comparison(spark, d).filter("da"), ["klasse"], list(FLAGS)), ["feld"], "wert", "klasse")
 
 
@@ -756,3 +756,10 @@ def agg13_agg14_odds_ganz(spark: SparkSession, d: str) -> DataFrame:
 def agg16_praevalenz_ganz(spark: SparkSession, d: str) -> DataFrame:
     """Prevalence of field hints; the reference takes its list without the extra spellings here (AGG-16)."""
     return hint_prevalence(spark, d, hints(spark, d, HINTS))
+
+
+@query(f"WITH {_R}, {_B}, j AS (SELECT r.klasse, b.* FROM r JOIN b ON r.pid = b.pid WHERE r.pid <> '' AND {_IN}), e AS (" + " UNION ALL ".join(f"SELECT klasse, '{n}' AS feld, {c} AS wert FROM j" for n, c in (("code_flag", "has_code"), ("ge_1", "ge_1"), ("ge_2", "ge_2"), ("ge_3", "ge_3"), ("ge_4", "ge_4"), ("ge_5", "ge_5"), ("composite", "composite"), ("eq_0", "eq_0"), ("mid_1_3", "mid_1_3"), ("ge_4_grouped", "CAST(max_score >= 4 AS INTEGER)"))) + f"), {_metrics('e', 'feld', 'wert', 'klasse')}")
+def agg8_agg10_metriken_ganz(spark: SparkSession, d: str) -> DataFrame:
+    """Confusion counts and rates of the reports against all ten baselines, in one pass (AGG-8, AGG-9, AGG-10, AGG-12)."""
+    c = comparison(spark, d, (*FLAGS, "eq_0", "mid_1_3")).filter("da").withColumn("ge_4_grouped", F.col("ge_4"))
+    return confusion(long_form(c, ["klasse"], [*FLAGS, "eq_0", "mid_1_3", "ge_4_grouped"]), ["feld"], "wert", "klasse")

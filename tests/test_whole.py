@@ -69,3 +69,11 @@ def test_field_hints_of_all_terms(spark):
     assert exposed("agg13_agg14_odds_ganz") > exposed("agg13_agg14_odds")
     hit = lambda name: sum(r.n for r in rows(spark, name) if r.epikrise_hinweis == 1)
     assert hit("jn8_hinweise_ganz") > hit("jn8_hinweise")
+
+
+@tables
+def test_all_ten_baselines(spark):
+    got = {r.feld: r for r in rows(spark, "agg8_agg10_metriken_ganz")}
+    assert set(got) == {"code_flag", "ge_1", "ge_2", "ge_3", "ge_4", "ge_5", "composite", "eq_0", "mid_1_3", "ge_4_grouped"}
+    assert len({r.tp + r.tn + r.fp + r.fn for r in got.values()}) == 1 and got["eq_0"].tp + got["eq_0"].fn > 0
+    assert tuple(got["ge_4_grouped"])[1:] == tuple(got["ge_4"])[1:]
