@@ -260,7 +260,7 @@ def hints_by_score(spark: SparkSession, d: str, terms: tuple[str, ...]) -> DataF
 @query(f"""WITH {_B}, sb AS (SELECT {sql_id('"PatientenID"')} AS pid, baseline_nr, max_icdsc, row_number() OVER (PARTITION BY {sql_id('"PatientenID"')} ORDER BY baseline_nr) AS rn FROM structured_baseline)
 SELECT coalesce(b.pid, sb.pid) AS pid, coalesce(sb.max_icdsc, b.max_score) AS wert, CASE WHEN b.max_score IS NOT DISTINCT FROM sb.max_icdsc THEN 'gleich' ELSE 'unterschied' END AS befund FROM b FULL JOIN (SELECT * FROM sb WHERE rn = 1) sb ON b.pid = sb.pid""")
 def jn13_jn18_abgleich(spark: SparkSession, d: str) -> DataFrame:
-    """Derived and delivered baseline: later values override, differences are named (JN-13, JN-18, SRC-6)."""
+    """Derived and delivered baseline: delivered values override, differences are named; of repeated ids the first row counts, unchecked (JN-18, SRC-6; not JN-13)."""
     sb = table(spark, d, "structured_baseline").groupBy(clean_id("PatientenID").alias("pid")).agg(F.min_by(F.struct("max_icdsc"), "baseline_nr").alias("x"))
     j = base(spark, d).select("pid", "max_score").join(sb.select("pid", F.col("x.max_icdsc").alias("m")), "pid", "outer")
     return j.select("pid", F.coalesce("m", "max_score").alias("wert"), F.when(F.col("max_score").eqNullSafe(F.col("m")), "gleich").otherwise("unterschied").alias("befund"))
@@ -585,7 +585,7 @@ def txt4_spannen(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def txt5_txt13_belege(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence record of every report: snippets, flags and gate (TXT-5 to TXT-13, SRT-7)."""
+    """Evidence record of every report: snippets, flags and gate (TXT-5 to TXT-11, TXT-13, SRT-7; not TXT-12)."""
     return reports(spark, d).select("report_nr", stitched().alias("t")).select("report_nr", evidence(F.col("t")).alias("e")).select("report_nr", "e.original_len", "e.hits", F.size("e.snippets").alias("snippets"), F.md5(bundle(F.col("e.snippets"))).alias("belege"), "e.has_direct", "e.has_indirect", "e.has_negation", "e.prophylaxis_only", "e.send")
 
 
