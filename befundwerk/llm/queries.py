@@ -17,8 +17,8 @@ MISREAD_FIELDS = ("epikrise", "jetziges_leiden", "prozedere")
 
 
 def p1_texte(spark: SparkSession, d: str) -> DataFrame:
-    """Wrongly read field values with the restored text."""
-    return misread(table(spark, d, "berichte"), "report_nr", MISREAD_FIELDS).withColumnRenamed("nr", "report_nr")
+    """Wrongly read field values with the restored text; the report types are the sources."""
+    return misread(table(spark, d, "berichte"), "report_nr", MISREAD_FIELDS, source="bertyp").withColumnRenamed("nr", "report_nr")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
