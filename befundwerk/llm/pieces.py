@@ -7,11 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from befundwerk.llm.tokens import TOKENIZERS, Codec, blocks, codec, rank_file, read_limits
 
+#: Least limit: a character may take so many tokens.
+LEAST = 4
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PLAIN = ~_SPACE
@@ -81,8 +83,8 @@ def split_text(c: Codec, text: str, most: int, overlap: int, ids: np.ndarray | N
     character that the token there is part of. Where no boundary of any kind lies beyond the
     overlap, the cut is at the last character under the limit.
     """
-    if overlap * 2 > most or most < 8:
-        raise ValueError("the overlap must be at most half of the limit, which is at least 8")
+    if most < LEAST or not 0 <= overlap < most:
+        raise ValueError(f"the limit is at least {LEAST}, the overlap less than the limit")
     ids = c.ids(text) if ids is None else ids
     if len(ids) <= most:
         return []
@@ -126,14 +128,26 @@ OUT = "doc_id long, regel string, stueck int, von long, bis long, n_tokens int,
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("regel", pa.string()), ("stueck", pa.int32()), ("von", pa.int64()), ("bis", pa.int64()), ("n_tokens", pa.int32()), ("text", pa.string())])
 
 
+def rule_faults(rules: DataFrame) -> DataFrame:
+    """(regel, grund) of rules that no pieces can follow: no tokenizer, a limit below LEAST, or an overlap that isn't below the limit."""
+    return rules.select("regel", _fault().alias("grund")).filter(F.col("grund").isNotNull())
+
+
+def _fault() -> Column:
+    most, overlap = F.col("max_tokens"), F.col("overlap_tokens")
+    return F.when(F.col("tokenizer").isNull(), "tokenizer").when(most.isNull() | (most < LEAST), "max_tokens").when((overlap < 0) | (overlap >= most), "overlap_tokens")
+
+
 def split_documents(df: DataFrame, rules: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
     """The pieces of every text above a rule's limit; von and bis count characters.
 
-    ``rules`` is a small table (regel, max_tokens, overlap_tokens, tokenizer). Null and empty texts
+    ``rules`` is a small table (regel, max_tokens, overlap_tokens, tokenizer); a null overlap is none. A rule that no
+    pieces can follow gives none and doesn't stop the others; ``rule_faults`` names it. Null and empty texts
     and texts within the limit have no pieces. Each row is cut by itself, so nothing is shuffled
     and repeated rows come out repeatedly. A text of no more bytes than the limit isn't encoded.
     """
-    limits = sorted((r["max_tokens"], r["overlap_tokens"], r["regel"], r["tokenizer"]) for r in read_limits(df.sparkSession, rules) if r["max_tokens"] is not None)
+    sound = rules.filter(_fault().isNull()).select("regel", "max_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("o"), "tokenizer")
+    limits = sorted(((r["max_tokens"], r["o"], r["regel"], r["tokenizer"]) for r in read_limits(df.sparkSession, sound)), key=repr)
     ranks = df.sparkSession.sparkContext.broadcast({t: rank_file(t, folder) for *_, t in limits})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +167,7 @@ def split_documents(df: DataFrame, rules: DataFrame, doc_id: str = "doc_id", tex
                 for most, overlap, name, tokenizer in limits:
                     if (n_bytes or 0) <= most:
                         continue
-                    pieces = split_text(codecs[tokenizer], s, most, overlap or 0, encoded[tokenizer, i])
+                    pieces = split_text(codecs[tokenizer], s, most, overlap, encoded[tokenizer, i])
                     if not pieces:
                         continue
                     data = s.encode() if data is None else data

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from befundwerk.llm.mojibake import misread
 from befundwerk.llm.mix import mix_sources
 from befundwerk.llm.pii import name_words, personal_data, redacted
-from befundwerk.llm.pieces import split_documents
+from befundwerk.llm.pieces import rule_faults, split_documents
 from befundwerk.llm.tokens import encode_texts
 from befundwerk.session import table
 
@@ -58,11 +58,24 @@ def p7_anteile(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_ziele"))[1]
 
 
+def p7_erfuellbar(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of the mix with the largest total at which every source that has records fills its share."""
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_ziele"), "feasible")[1]
+
+
+def p8_regeln(spark: SparkSession, d: str) -> DataFrame:
+    """The rules that no pieces can follow, with the reason."""
+    return rule_faults(table(spark, d, "teil_grenzen"))
+
+
 def p8_stuecke(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of every document above a limit."""
     return split_documents(table(spark, d, "documents"), table(spark, d, "teil_grenzen"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_texte, p3_found, p3_texte, p6_ids, p7_mix, p7_anteile, p8_stuecke)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_texte, p3_found, p3_texte, p6_ids, p7_mix, p7_anteile, p7_erfuellbar, p8_stuecke, p8_regeln)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p8_regeln": """SELECT regel, CASE WHEN tokenizer IS NULL THEN 'tokenizer' WHEN max_tokens IS NULL OR max_tokens < 4 THEN 'max_tokens' WHEN overlap_tokens < 0 OR overlap_tokens >= max_tokens THEN 'overlap_tokens' END AS grund FROM teil_grenzen
+WHERE tokenizer IS NULL OR max_tokens IS NULL OR max_tokens < 4 OR overlap_tokens < 0 OR overlap_tokens >= max_tokens""",
+}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from befundwerk.llm.mix import fit, mix_sources
 from befundwerk.llm.mojibake import RUN, Model, learn, misread, repair, runs, swaps, tally
-from befundwerk.llm.pieces import split_documents, split_text
+from befundwerk.llm.pieces import rule_faults, split_documents, split_text
 from befundwerk.llm.pii import Finder, check_digit, misread_forms, number_mentions, personal_data, redact, redacted
 from befundwerk.llm.tokens import codec, count_tokens, encode_texts, rank_file
 
@@ -86,6 +86,10 @@ def test_split_documents(spark):
     k = sorted((r.stueck, r.text) for r in rows if r.regel == "k")
     assert "".join(t for _, t in k[::2]) == long and k[::2] == k[1::2]
     assert split_documents(df.limit(0), rules).count() == 0
+    odd = spark.createDataFrame([("leer", None, 0, "byte_bpe_50k"), ("eng", 3, 0, "byte_bpe_50k"), ("gleich", 9, 9, "byte_bpe_50k"), ("ohne", 9, 0, None), ("weit", 9, 8, "byte_bpe_50k"), ("null", 9, None, "byte_bpe_50k")], rules.schema)
+    assert {r.regel: r.grund for r in rule_faults(odd).collect()} == {"leer": "max_tokens", "eng": "max_tokens", "gleich": "overlap_tokens", "ohne": "tokenizer"}
+    rows = split_documents(df, odd).collect()
+    assert {r.regel for r in rows} == {"weit", "null"} and all(r.n_tokens <= 9 for r in rows)
 
 
 # ---- mix
@@ -104,6 +108,39 @@ def test_fit_like_brute_force():
         assert sum(n * k for n, k in got.items()) == max(s for s in sums if s <= budget)
 
 
+def test_fit_of_long_records():
+    rng = random.Random(3)
+    left = dict.fromkeys((rng.randint(18_001, 22_367) for _ in range(60)), 1)
+    sums = {0}
+    for n in left:
+        sums |= {s + n for s in sums if s + n <= 62_752}
+    got = fit(62_752, left, 1)
+    assert sum(n * k for n, k in got.items()) == max(sums) >= 62_735 and all(k == 1 for k in got.values())
+    assert sum(n * k for n, k in fit(10**9 + 1, {2: 10**9, 4: 3}, 1).items()) == 10**9
+
+
+def test_mix_of_long_records_and_feasible_total(spark):
+    """A source of long records only is fitted exactly; with the feasible total every source that has records fills its share."""
+    docs = [(i, "lang", "wort " * (18_001 + 73 * i)) for i in range(12)] + [(100 + i, "kurz", "wort " * (1 + i % 7)) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    goals = spark.createDataFrame([("lang", 0.9, 1), ("kurz", 0.05, 2), ("leer", 0.05, 2)], "source string, ziel_anteil double, max_wiederholung int")
+    mix, shares = mix_sources(df, goals, total=62_752)
+    lengths = sorted(r.n_tokens for r in mix.filter("source = 'lang'").collect())
+    every = sorted({r.n_tokens for r in mix_sources(df, goals, total=10**7)[0].filter("source = 'lang'").collect()})
+
+    def best(budget):
+        sums = {0}
+        for n in every:
+            sums |= {s + n for s in sums if s + n <= budget}
+        return max(sums)
+
+    assert sum(lengths) == best(round(0.9 * 62_752))
+    s = {r.source: r for r in mix_sources(df, goals, "feasible")[1].collect()}
+    assert s["kurz"].tokens == s["kurz"].ziel_tokens and s["kurz"].gesamt == s["lang"].gesamt > 0 and s["leer"].tokens == 0
+    assert s["lang"].tokens == best(s["lang"].ziel_tokens) and abs(s["kurz"].anteil_gesamt - 0.05) < 0.001
+    assert mix_sources(df.limit(0), goals, "feasible")[0].count() == 0
+
+
 def test_mix_sources(spark):
     rng = random.Random(7)
     docs = [(i, rng.choice(["a", "a", "a", "b", "c", None]), rng.choice([None, "", "wort " * rng.randint(1, 40)])) for i in range(600)]
