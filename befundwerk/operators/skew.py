@@ -8,6 +8,8 @@ a key come from per-bucket counts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,15 +30,17 @@ def eager_join(left: DataFrame, right: DataFrame, on: Sequence[str], sums: dict[
     counts once, so the result's ``n`` is the product of the counts, and the sum of a column of one
     side is its own sum times the count of the other; ``sums`` maps such columns to ``left`` or
     ``right``. Columns with clashing names keep the left value. With ``how="left"`` a missing
-    partner counts as one row without values.
+    partner counts as one row without values. Counts and whole sums come out as decimal(38, 0).
     """
     sums = sums or {}
     other = right.select(*on, F.col("n").alias("_rn"), *(c for c in right.columns if c not in {*on, "n", *left.columns}))
     j = left.join(other, list(on), how)
     rn = F.coalesce(F.col("_rn"), F.lit(1))
-    out = {c: F.col(c) * (rn if side == "left" else F.col("n")) for c, side in sums.items()}
+    wide = lambda c: c.cast("decimal(38,0)")  # noqa: E731  # products of counts outgrow a long
+    whole = {c for c, t in j.dtypes if t in ("tinyint", "smallint", "int", "bigint")}
+    out = {c: (wide(F.col(c)) if c in whole else F.col(c)) * (rn if side == "left" else F.col("n")) for c, side in sums.items()}
     keep = [c for c in j.columns if c not in {"n", "_rn", *out}]
-    return j.select(*keep, *(v.alias(k) for k, v in out.items()), (F.col("n") * rn).alias("n"))
+    return j.select(*keep, *(v.alias(k) for k, v in out.items()), (wide(F.col("n")) * rn).alias("n"))
 
 
 def heavy_keys(state: DataFrame, key: str, share: float) -> DataFrame:
@@ -57,18 +61,18 @@ def salted_join(rows: DataFrame, keyed: DataFrame, key: str, hot: DataFrame, spr
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def rank_within(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "lfd") -> DataFrame:
+def rank_within(df: DataFrame, by: Sequence[str], bucket: Column | Sequence[Column], order: Sequence[Column], name: str = "lfd") -> DataFrame:
     """Each row's position within its key from 1, hot keys included.
 
-    ``bucket`` must not decrease along ``order``. Rows are sorted within (key, bucket) only; what
-    precedes a bucket is added from the counts per bucket. Null buckets come last.
+    The buckets, compared one after the other with nulls last, must not decrease along ``order``. Rows are sorted
+    within (key, buckets) only; what precedes is added from the counts per bucket. Several buckets
+    divide rows that share the first one (rows without a date, say).
     """
-    b = df.withColumn("_bucket", bucket)
-    counts = b.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by).orderBy(F.col("_bucket").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), F.col("_bucket").alias("_b2"), (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
-    inner = b.withColumn("_pos", F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order)))
-    same = F.col("_bucket").eqNullSafe(F.col("_b2"))
-    for i, k in enumerate(by):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    parts = {f"_bucket{i}": c for i, c in enumerate([bucket] if isinstance(bucket, Column) else bucket)}
+    b = df.withColumns(parts)
+    counts = b.groupBy(*by, *parts).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*by).orderBy(*(F.col(p).asc_nulls_last() for p in parts)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate([*by, *parts])), (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
+    inner = b.withColumn("_pos", F.row_number().over(Window.partitionBy(*by, *parts).orderBy(*order)))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*by, *parts])))
     return inner.join(before, same).select(*df.columns, (F.col("_pos") + F.col("_before")).cast("bigint").alias(name))

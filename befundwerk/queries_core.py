@@ -20,13 +20,13 @@ HEAVY = 0.025
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Records and scores that fail, with the first reason that applies."""
-    raw = parse_records(table(spark, d, "rohzeilen")).filter(F.col("grund").isNotNull()).select(F.lit("rohzeilen").alias("tabelle"), "nr", "grund")
+    raw = parse_records(table(spark, d, "rohzeilen")).filter(F.col("grund").isin("anfuehrung", "spaltenzahl", "wert")).select(F.lit("rohzeilen").alias("tabelle"), "nr", "grund")
     bad = check_scores(table(spark, d, "icdsc"), "icdsc_nr", "ICDSC_Max").filter(F.col("grund").isNotNull()).select(F.lit("icdsc").alias("tabelle"), "nr", "grund")
     return raw.unionByName(bad)
 
 
 def _valid(spark: SparkSession, d: str, datei: str) -> DataFrame:
-    ok = parse_records(table(spark, d, "rohzeilen")).filter((F.col("datei") == datei) & F.col("grund").isNull())
+    ok = parse_records(table(spark, d, "rohzeilen").filter(F.col("datei") == datei)).filter(F.col("grund").isNull())
     return ok.select(F.col("nr").alias("roh_nr"), *(F.col("felder")[i].alias(c) for i, c in enumerate(FIELDS[datei])))
 
 
@@ -52,10 +52,16 @@ def _fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Values with more than HEAVY of all rows: states per value joined with the state of all rows of the field."""
-    s = states(_fields(spark, d), ["feld", "wert"])
-    whole = s.groupBy("feld").agg(F.sum("n").alias("alle")).withColumn("n", F.lit(1).cast("bigint"))  # two rows
-    return eager_join(s, F.broadcast(whole), ["feld"]).filter((F.col("wert") != "") & (F.col("n") > F.col("alle") * HEAVY)).select("feld", "wert")
+    """Values with more than HEAVY of all rows, from the join of each field's rows with all rows of the field.
+
+    Both sides are reduced first, to a state per value and a state per field (which reads no column); the join of the
+    states multiplies the counts, so a value's share is its pairs of rows by all pairs of the field.
+    """
+    value = states(_fields(spark, d), ["feld", "wert"])
+    rows = table(spark, d, "berichte").select(F.explode(F.array(F.lit("PatientID"), F.lit("bertyp"))).alias("feld"))
+    whole = states(rows, ["feld"]).withColumn("alle", F.col("n"))
+    pairs = eager_join(value, whole, ["feld"])
+    return pairs.filter((F.col("wert") != "") & (F.col("n") > F.col("alle").cast("double") * F.col("alle") * HEAVY)).select("feld", "wert")
 
 
 def p4_schluessel(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +141,18 @@ faelle AS (SELECT r.tabelle, r.nr, r.id, r.zeit, CASE WHEN p."PatientID" IS NULL
   FROM refs r LEFT JOIN patienten p ON p."PatientID" = r.id WHERE r.id <> '')"""
 _PAIRS = f"""felder AS (SELECT 'PatientID' AS feld, {sql_id('"PatientID"')} AS wert, eingang FROM berichte UNION ALL SELECT 'bertyp', {sql_label('bertyp')}, eingang FROM berichte)"""
 
+_CELLS = f"list_transform(regexp_extract_all(';' || zeile, ';{_FIELD}', 0, 's'), x -> CASE WHEN starts_with(x, ';\"') THEN replace(substring(x, 3, length(x) - 3), '\"\"', '\"') ELSE substring(x, 2) END)"
+_SPELT = tuple((f, p) for f, p in (("%Y-%m-%d %H:%M:%S", "[0-9]{4}-.*:.*:.*"), ("%Y-%m-%d %H:%M", "[0-9]{4}-.*:.*"), ("%Y-%m-%d", "[0-9]{4}-.*"), ("%d.%m.%Y", ".*[.][0-9]{4}"), ("%d.%m.%y", ".*[.][0-9]{2}"), ("%Y/%m/%d", "[0-9]{4}/.*")))
+
+
+def sql_date(c: str) -> str:
+    t = sql_strip(c)
+    return "coalesce(" + ", ".join(f"CASE WHEN regexp_full_match({t}, '{p}') THEN try_strptime({t}, '{f}') END" for f, p in _SPELT) + ")"
+
+
 SQL: dict[str, str] = {
+    "p2_berichte": f"""WITH z AS (SELECT roh_nr, {_CELLS} AS f FROM rohzeilen WHERE datei = 'Berichte.csv' AND regexp_full_match(coalesce(zeile, ''), '{_FIELD}(?:;{_FIELD})*', 's') AND zeile <> '' AND {_COUNT} = 8)
+SELECT roh_nr, {sql_id('f[1]')} AS "PatientID", f[2] AS bername, {sql_label('f[3]')} AS bertyp, {sql_date('f[4]')} AS berdat, f[5] AS diag, f[6] AS epikrise, f[7] AS jetziges_leiden, f[8] AS prozedere FROM z""",
     "p2_found": f"""WITH r AS (SELECT roh_nr AS nr, CASE
     WHEN NOT regexp_full_match(coalesce(zeile, ''), '{_FIELD}(?:;{_FIELD})*', 's') THEN 'anfuehrung'
     WHEN datei = 'Berichte.csv' AND {_COUNT} <> 8 OR datei = 'ICDSC.csv' AND {_COUNT} <> 2 THEN 'spaltenzahl'
