@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from befundwerk.llm.mojibake import misread
 from befundwerk.llm.mix import mix_sources
-from befundwerk.llm.pii import name_words, personal_data, redacted
+from befundwerk.llm.pii import ARTS, name_words, personal_data, redacted
 from befundwerk.llm.pieces import rule_faults, split_documents
 from befundwerk.llm.tokens import encode_texts
 from befundwerk.session import table
@@ -34,8 +34,8 @@ def _names(spark: SparkSession, d: str) -> tuple[tuple[str, ...], tuple[str, ...
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every mention of personal data, numbered per kind in its field."""
-    return personal_data(table(spark, d, "berichte"), "report_nr", PERSONAL_FIELDS, _names(spark, d)).select(F.col("nr").alias("report_nr"), "feld", "art", "lfd")
+    """Every mention of personal data, numbered per kind in its field; account numbers are redacted but no kind here."""
+    return personal_data(table(spark, d, "berichte"), "report_nr", PERSONAL_FIELDS, _names(spark, d)).filter(F.col("art").isin(*ARTS)).select(F.col("nr").alias("report_nr"), "feld", "art", "lfd")
 
 
 def p3_texte(spark: SparkSession, d: str) -> DataFrame:
