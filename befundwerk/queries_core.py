@@ -141,7 +141,7 @@ faelle AS (SELECT r.tabelle, r.nr, r.id, r.zeit, CASE WHEN p."PatientID" IS NULL
   FROM refs r LEFT JOIN patienten p ON p."PatientID" = r.id WHERE r.id <> '')"""
 _PAIRS = f"""felder AS (SELECT 'PatientID' AS feld, {sql_id('"PatientID"')} AS wert, eingang FROM berichte UNION ALL SELECT 'bertyp', {sql_label('bertyp')}, eingang FROM berichte)"""
 
-_CELLS = f"list_transform(regexp_extract_all(';' || zeile, ';{_FIELD}', 0, 's'), x -> CASE WHEN starts_with(x, ';\"') THEN replace(substring(x, 3, length(x) - 3), '\"\"', '\"') ELSE substring(x, 2) END)"
+_CELLS = f"list_transform(regexp_extract_all(';' || zeile, ';{_FIELD}', 0, 's'), lambda x: CASE WHEN starts_with(x, ';\"') THEN replace(substring(x, 3, length(x) - 3), '\"\"', '\"') ELSE substring(x, 2) END)"
 _SPELT = tuple((f, p) for f, p in (("%Y-%m-%d %H:%M:%S", "[0-9]{4}-.*:.*:.*"), ("%Y-%m-%d %H:%M", "[0-9]{4}-.*:.*"), ("%Y-%m-%d", "[0-9]{4}-.*"), ("%d.%m.%Y", ".*[.][0-9]{4}"), ("%d.%m.%y", ".*[.][0-9]{2}"), ("%Y/%m/%d", "[0-9]{4}/.*")))
 
 
