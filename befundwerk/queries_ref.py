@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from befundwerk.functions.clean import clean_id, clean_label, flag, number, parse_date, strip, truthy
-from befundwerk.functions.evidence import bundle, evidence, reduce_report, spans
 from befundwerk.functions.schema import fold, require, shorten, with_defaults
 from befundwerk.functions.terms import EXCLUDED_TYPE, HINTS, MATRIX_TYPES, SECTIONS, STEMS, WORD_PATTERNS, contains_any, occurrences, word_match
 from befundwerk.operators.baseline import baseline, code_flags, confusion, id_sets, long_form, main_diagnosis, max_scores, odds, valid_code
@@ -576,26 +575,6 @@ def txt1_txt3_treffer(spark: SparkSession, d: str) -> DataFrame:
     return reports(spark, d).select("report_nr", word_match(t, WORD_PATTERNS, STEMS).alias("wort"), contains_any(t, HINTS).alias("hinweis"))
 
 
-@query()
-def txt4_spannen(spark: SparkSession, d: str) -> DataFrame:
-    """Accepted term spans of the course text."""
-    r = reports(spark, d).select("report_nr", F.explode(spans(F.col("epikrise"))).alias("s"))
-    return r.select("report_nr", F.col("s.a").alias("von"), F.col("s.z").alias("bis"), F.col("s.term").alias("begriff"), F.col("s.kind").alias("art"))
-
-
-@query()
-def txt5_txt13_belege(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence record of every report: snippets, flags and gate (TXT-5 to TXT-11, TXT-13, SRT-7; not TXT-12)."""
-    return reports(spark, d).select("report_nr", stitched().alias("t")).select("report_nr", evidence(F.col("t")).alias("e")).select("report_nr", "e.original_len", "e.hits", F.size("e.snippets").alias("snippets"), F.md5(bundle(F.col("e.snippets"))).alias("belege"), "e.has_direct", "e.has_indirect", "e.has_negation", "e.prophylaxis_only", "e.send")
-
-
-@query()
-def txt15_txt18_kuerzung(spark: SparkSession, d: str) -> DataFrame:
-    """Stitched reports reduced to windows of 1000 signs around hints or to the sections' caps, 8000 in all (TXT-15 to TXT-18)."""
-    r = reports(spark, d).select("report_nr", stitched().alias("t")).select("report_nr", reduce_report(F.col("t")).alias("x")).filter("x IS NOT NULL")
-    return r.select("report_nr", F.length("x.text").alias("zeichen"), F.md5("x.text").alias("inhalt"), F.col("x.method").alias("verfahren"), F.col("x.original_len").alias("vorher"), F.col("x.hits").alias("treffer"))
-
-
 @query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL")
 def jsn2_felder(spark: SparkSession, d: str) -> DataFrame:
     """A field of JSON text, null where it doesn't parse (JSN-2, JSN-5)."""
