@@ -35,7 +35,8 @@ def contains_any(text: Column, terms: Sequence[str]) -> Column:
 
 def occurrences(text: Column, term: str) -> Column:
     """Non-overlapping occurrences of a term, case aside; 0 for null."""
-    return F.coalesce(F.regexp_count(F.lower(text), F.lit(r"\Q" + term + r"\E")), F.lit(0))
+    low = F.lower(text)
+    return F.when(low.contains(term), F.regexp_count(low, F.lit(r"\Q" + term + r"\E"))).otherwise(0)
 
 
 def word_match(text: Column, words: Sequence[str] = WORD_PATTERNS, stems: Sequence[str] = ()) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from befundwerk.functions.clean import flag, number, strip, truthy
@@ -158,11 +158,7 @@ def top_terms(words: DataFrame, most: int, term: str = "wort") -> DataFrame:
 def id_sample(ids: DataFrame, key: str = "pid", most: int = 20) -> DataFrame:
     """(n, beispiele): the number of ids and the first ``most`` of them, an ellipsis behind them if there are more."""
     head = F.array_join(F.array_sort(F.collect_list(key)), ",")
-    n = ids.agg(F.count(F.lit(1)).alias("n"))
-    first = ids.orderBy(key).limit(most).agg(head.alias("h"))
-    return n.join(first, F.lit(True)).select("n", F.concat(F.coalesce("h", F.lit("")), F.when(F.col("n") > most, "...").otherwise("")).alias("beispiele"))
-
-
-def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "nr") -> DataFrame:
-    """A running number over a small result."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    n = ids.agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("string").alias("h"))
+    first = ids.orderBy(key).limit(most).agg(F.lit(None).cast("bigint").alias("n"), head.alias("h"))
+    both = n.unionByName(first).agg(F.max("n").alias("n"), F.max("h").alias("h"))
+    return both.select("n", F.concat(F.coalesce("h", F.lit("")), F.when(F.col("n") > most, "...").otherwise("")).alias("beispiele"))

@@ -11,7 +11,6 @@ from befundwerk.functions.terms import EXCLUDED_TYPE, HINTS, MATRIX_TYPES, SECTI
 from befundwerk.operators.baseline import baseline, code_flags, confusion, id_sets, long_form, main_diagnosis, max_scores, odds, valid_code
 from befundwerk.operators.orphans import HOT_SHARE
 from befundwerk.operators.skew import heavy_keys, rank_within, salted_join, states
-from befundwerk.plans.pick import sequential_pick
 from befundwerk.queries_core import sql_id, sql_label, sql_strip
 from befundwerk.session import table
 
@@ -240,9 +239,9 @@ _KEY = "pid, typ"
 SELECT r.report_nr, f.ts AS datum FROM r JOIN f ON r.pid = f.pid AND r.typ = f.typ WHERE r.ts IS NULL""")
 def jn7_win3_datum(spark: SparkSession, d: str) -> DataFrame:
     """A missing date from the first dated report with the same keys; the first row per key by a minimum, not a sort."""
-    r = reports(spark, d).select("report_nr", "pid", "typ", "ts")
-    first = r.filter("ts IS NOT NULL").groupBy("pid", "typ").agg(F.min_by("ts", "report_nr").alias("datum"))
-    return r.filter("ts IS NULL").join(first, ["pid", "typ"]).select("report_nr", "datum")
+    r = reports(spark, d).select("report_nr", F.concat_ws("\x00", "pid", "typ").alias("pid"), "ts")
+    first = r.filter("ts IS NOT NULL").groupBy("pid").agg(F.min_by("ts", "report_nr").alias("datum"))
+    return beside(r.filter("ts IS NULL").select("report_nr", "pid"), first).select("report_nr", "datum")
 
 
 @query(f"""WITH {_R}, {_B}, h AS (SELECT pid, max(CASE WHEN contains(lower(coalesce(epikrise, '')), 'delir') THEN 1 ELSE 0 END) AS epikrise_hinweis FROM r GROUP BY 1) SELECT epikrise_hinweis, ge_4, count(*) AS n FROM h JOIN b ON h.pid = b.pid GROUP BY ALL""")
@@ -335,6 +334,13 @@ _OCC = lambda k, c="txt": f"((length(lower({c})) - length(replace(lower({c}), '{
 _TXT = "concat_ws(' ', diag, epikrise, jetziges_leiden, prozedere)"
 
 
+def counted_terms(spark: SparkSession, d: str, terms: tuple[str, ...]) -> DataFrame:
+    """One row per report with the occurrences of all terms as a list, beside the patient's score flag; joined before anything is exploded."""
+    r = reports(spark, d).withColumn("txt", F.concat_ws(" ", *FIELDS))
+    one = r.select("report_nr", "pid", "klasse", F.array(*(F.struct(F.lit(k).alias("begriff"), big(occurrences(F.col("txt"), k), "n")) for k in terms)).alias("begriffe"))
+    return beside(one, base(spark, d).select("pid", "ge_4"))
+
+
 def keyword_rows(spark: SparkSession, d: str, terms: tuple[str, ...] = _TERMS) -> DataFrame:
     """One row per report and term with its occurrences, from one pass over the text."""
     r = reports(spark, d).withColumn("txt", F.concat_ws(" ", *FIELDS))
@@ -361,11 +367,11 @@ _SUB = f"{_KW}, {_B}, q AS (SELECT k.begriff, k.n, k.klasse, b.ge_4 FROM k JOIN
 UNION ALL SELECT CASE WHEN klasse = 1 AND ge_4 = 1 THEN 'TP' WHEN klasse = 1 THEN 'FP' WHEN ge_4 = 1 THEN 'FN' ELSE 'TN' END, begriff, n FROM q) SELECT menge, begriff, CAST(sum(n) AS BIGINT) AS vorkommen, count(*) FILTER (n > 0) AS berichte FROM u GROUP BY ALL""")
 def agg18_agg20_mengen(spark: SparkSession, d: str) -> DataFrame:
     """The first eleven terms by subset; agg18_agg20_mengen_ganz has all."""
-    return term_sets(spark, d, keyword_rows(spark, d))
+    return term_sets(counted_terms(spark, d, _TERMS))
 
 
-def term_sets(spark: SparkSession, d: str, k: DataFrame) -> DataFrame:
-    q = beside(k, base(spark, d).select("pid", "ge_4"))
+def term_sets(k: DataFrame) -> DataFrame:
+    q = k.select("report_nr", "pid", "klasse", "ge_4", F.explode("begriffe").alias("x")).select("klasse", "ge_4", "x.begriff", "x.n")
     pos, ref = F.col("klasse") == 1, F.col("ge_4") == 1
     sets = F.array(F.lit("alle"), F.when(pos, "klasse_1"), F.when(ref, "ge_4"), F.when(pos & ref, "TP").when(pos, "FP").when(ref, "FN").otherwise("TN"))
     return q.select("begriff", "n", F.explode(F.array_compact(sets)).alias("menge")).groupBy("menge", "begriff").agg(F.sum("n").alias("vorkommen"), F.count_if(F.col("n") > 0).alias("berichte"))
@@ -519,7 +525,9 @@ def win1_agg47_patientenlabel(spark: SparkSession, d: str) -> DataFrame:
 def win2_reihenfolge(spark: SparkSession, d: str) -> DataFrame:
     """A report's number within its patient by date, type and number."""
     r = reports(spark, d).select("report_nr", "pid", "typ", "ts")
-    return rank_within(r, ["pid"], F.to_date("ts"), [F.col("ts").asc_nulls_last(), F.col("typ"), F.col("report_nr")], "nr").select("report_nr", "nr")
+    undated = F.col("ts").isNull()  # a patient's undated reports are one bucket else
+    buckets = [F.to_date("ts"), F.when(undated, F.col("typ")), F.when(undated, F.floor(F.col("report_nr") / 4096))]
+    return rank_within(r, ["pid"], buckets, [F.col("ts").asc_nulls_last(), F.col("typ"), F.col("report_nr")], "nr").select("report_nr", "nr")
 
 
 @query(f"""WITH g AS (SELECT {sql_id('"PatientenID"')} AS pid, count(*) AS n FROM structured_baseline GROUP BY 1) SELECT pid, n FROM g WHERE n > 1""")
@@ -611,15 +619,16 @@ def prj22_kennungen(spark: SparkSession, d: str) -> DataFrame:
     """Neutral identifiers of patients and their reports; numbers run within ranges of ids, so nothing is sorted in one task."""
     r = reports(spark, d).filter("pid <> ''").select("report_nr", "pid", "eingang")
     p = rank_within(r.select("pid").distinct().withColumn("_a", F.lit(1)), ["_a"], F.substring("pid", 1, 5), [F.col("pid")], "p").select("pid", "p")
-    n = rank_within(r, ["pid"], F.to_date("eingang"), [F.col("eingang").asc_nulls_last(), F.col("report_nr")], "n").join(p, "pid")
+    n = rank_within(r, ["pid"], F.to_date("eingang"), [F.col("eingang").asc_nulls_last(), F.col("report_nr")], "n")
+    n = beside(n.select("report_nr", "pid", "n"), p)
     return n.select("report_nr", F.format_string("Patient_%04d", "p").alias("patient"), F.format_string("Patient_%04d_Report_%04d", "p", "n").alias("bericht"))
 
 
 @query(f"WITH {_CMP} SELECT j.report_nr, j.klasse, length({_TXT}) AS zeichen FROM j LEFT JOIN r ON j.report_nr = r.report_nr WHERE j.da")
 def jn10_text(spark: SparkSession, d: str) -> DataFrame:
     """Evaluable reports beside their text."""
-    t = reports(spark, d).select("report_nr", big(F.length(F.concat_ws(" ", *FIELDS)), "zeichen"))
-    return comparison(spark, d).filter("da").select("report_nr", F.col("klasse").cast("int").alias("klasse")).join(t, "report_nr", "left")
+    r = reports(spark, d).filter((F.col("pid") != "") & (F.col("typ") != EXCLUDED_TYPE)).select("report_nr", "pid", "klasse", big(F.length(F.concat_ws(" ", *FIELDS)), "zeichen"))
+    return beside(r, base(spark, d).select("pid")).select("report_nr", F.col("klasse").cast("int").alias("klasse"), "zeichen")
 
 
 @query(f"""WITH {_R}, {_B}, x AS (SELECT pid, bool_or({_word(_TXT)}) AS wort FROM r GROUP BY pid) SELECT coalesce(x.pid, b.pid) AS pid, coalesce(x.wort, false) AS wort, coalesce(b.has_code, 0) AS has_code, coalesce(b.ge_4, 0) AS ge_4 FROM x FULL JOIN b ON x.pid = b.pid""")
@@ -665,12 +674,6 @@ def srt1_sortiert(spark: SparkSession, d: str) -> DataFrame:
     return reports(spark, d).select("report_nr", "pid", "typ", "ts").orderBy("pid", F.col("ts").asc_nulls_last(), "report_nr")
 
 
-@query()
-def srt4_auswahl(spark: SparkSession, d: str) -> DataFrame:
-    """Sequential stratified pick of 40 patients over overlapping groups, without repeats."""
-    return sequential_pick(jn4_matrix(spark, d), "pid", ["abweichung = 1", "modell = 1 AND ge_4 = 1", "irgend = 1", "ge_4 = 1", "modell = 0"], 40).select("pid", "gruppe")
-
-
 @query(f"""WITH {_R} SELECT report_nr, array_to_string(list_filter([{', '.join(f"CASE WHEN contains(lower({_TXT}), '{k}') THEN '{k}' END" for k in HINTS)}], lambda x: x IS NOT NULL)[1:12], ' || ') AS stellen FROM r""")
 def txt19_stellen(spark: SparkSession, d: str) -> DataFrame:
     """Terms found per report in the list's order, joined."""
@@ -694,7 +697,7 @@ def agg17_agg19_begriffe_ganz(spark: SparkSession, d: str) -> DataFrame:
 UNION ALL SELECT CASE WHEN klasse = 1 AND ge_4 = 1 THEN 'TP' WHEN klasse = 1 THEN 'FP' WHEN ge_4 = 1 THEN 'FN' ELSE 'TN' END, begriff, n FROM q) SELECT menge, begriff, CAST(sum(n) AS BIGINT) AS vorkommen, count(*) FILTER (n > 0) AS berichte FROM u GROUP BY ALL""")
 def agg18_agg20_mengen_ganz(spark: SparkSession, d: str) -> DataFrame:
     """Terms by overlapping subsets and by error kind, from one scan (AGG-18, AGG-20)."""
-    return term_sets(spark, d, keyword_rows(spark, d, HINTS))
+    return term_sets(counted_terms(spark, d, HINTS))
 
 
 @query(f"WITH {_KG} SELECT begriff, {', '.join(f'''CAST(coalesce(sum(n) FILTER (typ = '{t}'), 0) AS BIGINT) AS {t.lower()}''' for t in MATRIX_TYPES)} FROM k GROUP BY 1")
