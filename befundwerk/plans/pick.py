@@ -7,21 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from befundwerk.operators.cohort import sequential_groups
 from befundwerk.session import cut_lineage
 
 
 def sequential_pick(df: DataFrame, key: str, buckets: Sequence[str], n: int) -> DataFrame:
     """About n rows: per bucket predicate in turn the first max(3, n/len) by key not picked before, then the first of the rest.
 
-    The picked rows are few and written after each bucket, so the plan doesn't grow; each round is a
-    left anti-join against them and an ordered limit. Adds ``gruppe``; ties don't occur as keys are unique.
+    The table is computed once; the driver gets the few keys that may be picked, and the picks are joined
+    back. Adds ``gruppe``; ties don't occur as keys are unique. Rows with a null key are never picked.
     """
-    each = max(3, n // max(1, len(buckets)))
-    picked: DataFrame | None = None
-    for b in [*buckets, None]:
-        rest = df if picked is None else df.join(F.broadcast(picked.select(key)), key, "left_anti")
-        take = each if b is not None else max(0, n - (0 if picked is None else picked.count()))
-        chosen = rest.filter(b).orderBy(key).limit(take) if b is not None else rest.orderBy(key).limit(take)
-        chosen = chosen.withColumn("gruppe", F.lit(b or "rest"))
-        picked = cut_lineage(chosen if picked is None else picked.unionByName(chosen))
-    return picked.orderBy(F.col("gruppe") == "rest", key).limit(n)
+    rows = cut_lineage(df.filter(F.col(key).isNotNull()))
+    picks = sequential_groups(rows, key, {b: b for b in buckets}, max(3, n // max(1, len(buckets))), n)
+    kind = rows.schema[key].dataType.simpleString()
+    chosen = df.sparkSession.createDataFrame(picks, f"`{key}` {kind}, gruppe string")
+    return rows.join(F.broadcast(chosen), key).orderBy(F.col("gruppe") == "rest", key)

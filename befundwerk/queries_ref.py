@@ -189,12 +189,6 @@ def jn2_prj25_vergleich(spark: SparkSession, d: str) -> DataFrame:
     return comparison(spark, d).select("report_nr", "pid", "klasse", "da", *((F.col("klasse") == F.col(c)).cast("int").alias(f"gleich_{c}") for c in FLAGS))
 
 
-@query(f"WITH {_CMP} SELECT typ, CASE WHEN da THEN 'auswertbar' ELSE 'no_structured_baseline_row' END AS grund, count(*) AS n FROM j GROUP BY ALL")
-def jn3_trennung(spark: SparkSession, d: str) -> DataFrame:
-    """Evaluable and excluded reports with the reason."""
-    return comparison(spark, d).groupBy("typ", F.when(F.col("da"), "auswertbar").otherwise("no_structured_baseline_row").alias("grund")).agg(F.count(F.lit(1)).alias("n"))
-
-
 _MX = f"""{_R}, {_B}, m AS (SELECT pid, {', '.join(f"coalesce(max(klasse) FILTER (typ = '{t}'), 0) AS {t.lower()}_max, count(*) FILTER (typ = '{t}') AS {t.lower()}_n" for t in MATRIX_TYPES)}, max(klasse) AS irgend FROM r WHERE {_IN} AND pid <> '' GROUP BY pid)"""
 
 
@@ -213,18 +207,6 @@ def jn4_matrix(spark: SparkSession, d: str) -> DataFrame:
     return j.select("pid", *(f"{t.lower()}_{x}" for t in MATRIX_TYPES for x in ("max", "n")), "irgend", model.alias("modell"), "ge_4", flag(model != F.col("ge_4")).alias("abweichung"))
 
 
-_DEL = "lower(coalesce(epikrise, '') || ' ' || coalesce(diag, ''))"
-
-
-@query(f"""WITH {_R}, p AS (SELECT roh_nr, regexp_extract(zeile, '^"?([0-9]+)"?;', 1) AS pid FROM rohzeilen WHERE datei = 'ICDSC.csv'), q AS (SELECT pid, count(*) AS n FROM p GROUP BY 1)
-SELECT r.typ, CASE WHEN q.pid IS NULL THEN 'missing_prediction' WHEN r.klasse = 0 THEN 'skipped' ELSE 'processed' END AS status, count(*) AS n FROM r LEFT JOIN q ON r.pid = q.pid GROUP BY ALL""")
-def jn5_prj20_status(spark: SparkSession, d: str) -> DataFrame:
-    """Report spine beside a later delivery: processing status with defaults."""
-    q = table(spark, d, "rohzeilen").filter("datei = 'ICDSC.csv'").select(F.regexp_extract("zeile", '^"?([0-9]+)"?;', 1).alias("pid")).filter("pid IS NOT NULL").groupBy("pid").agg(F.lit(1).alias("q"))
-    j = beside(reports(spark, d).select("report_nr", "pid", "typ", "klasse"), q, "left")
-    return j.groupBy("typ", F.when(F.col("q").isNull(), "missing_prediction").when(F.col("klasse") == 0, "skipped").otherwise("processed").alias("status")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"""WITH i AS (SELECT {sql_id('"PatientID"')} AS pid FROM icd), s AS (SELECT {sql_id('"PatientID"')} AS pid FROM icdsc) SELECT count(*) AS zeilen, count(DISTINCT pid) AS patienten FROM i WHERE pid NOT IN (SELECT pid FROM s)""")
 def jn6_anti(spark: SparkSession, d: str) -> DataFrame:
     """Code rows of patients without scores."""
@@ -244,12 +226,6 @@ def jn7_win3_datum(spark: SparkSession, d: str) -> DataFrame:
     return beside(r.filter("ts IS NULL").select("report_nr", "pid"), first).select("report_nr", "datum")
 
 
-@query(f"""WITH {_R}, {_B}, h AS (SELECT pid, max(CASE WHEN contains(lower(coalesce(epikrise, '')), 'delir') THEN 1 ELSE 0 END) AS epikrise_hinweis FROM r GROUP BY 1) SELECT epikrise_hinweis, ge_4, count(*) AS n FROM h JOIN b ON h.pid = b.pid GROUP BY ALL""")
-def jn8_hinweise(spark: SparkSession, d: str) -> DataFrame:
-    """Patient hints of one term; jn8_hinweise_ganz has all."""
-    return hints_by_score(spark, d, ("delir",))
-
-
 def hints_by_score(spark: SparkSession, d: str, terms: tuple[str, ...]) -> DataFrame:
     h = reports(spark, d).groupBy("pid").agg(F.max(flag(contains_any(F.col("epikrise"), terms))).alias("epikrise_hinweis"))
     return h.join(base(spark, d), "pid").groupBy("epikrise_hinweis", "ge_4").agg(F.count(F.lit(1)).alias("n"))
@@ -283,12 +259,6 @@ def agg3_agg4_patiententext(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("berichte"), F.md5(F.array_join(F.transform(rows, lambda x: x["t"]), "\n\n")).alias("inhalt"))
 
 
-@query(f"WITH {_CMP}, l AS ({_long('j', 'klasse, da', FLAGS)}), e AS (SELECT * FROM l WHERE da), {_metrics('e', 'feld', 'wert', 'klasse')}")
-def agg8_agg10_metriken(spark: SparkSession, d: str) -> DataFrame:
-    """Confusion counts and rates of the reports against seven baselines, in one pass; agg8_agg10_metriken_ganz has all ten."""
-    return confusion(long_form(comparison(spark, d).filter("da"), ["klasse"], list(FLAGS)), ["feld"], "wert", "klasse")
-
-
 _GE = tuple(f"ge_{t}" for t in range(1, 6))
 
 
@@ -298,39 +268,21 @@ def agg11_schwellen(spark: SparkSession, d: str) -> DataFrame:
     return confusion(long_form(base(spark, d), ["has_code"], list(_GE)), ["feld"], "wert", "has_code")
 
 
-_HF = ", ".join(f"max(CASE WHEN contains(lower(coalesce({c}, '')), 'delir') OR contains(lower(coalesce({c}, '')), 'verwirrt') THEN 1 ELSE 0 END) AS {c}" for c in FIELDS)
-_HINT = f"{_R}, {_B}, h AS (SELECT pid, {_HF} FROM r GROUP BY pid), x AS (SELECT h.*, ge_4, has_code, composite FROM h JOIN b ON h.pid = b.pid)"
-
-
-def hints(spark: SparkSession, d: str, terms: tuple[str, ...] = ("delir", "verwirrt")) -> DataFrame:
+def hints(spark: SparkSession, d: str, terms: tuple[str, ...]) -> DataFrame:
     return reports(spark, d).groupBy("pid").agg(*(F.max(flag(contains_any(F.col(c), terms))).alias(c) for c in FIELDS))
 
 
-@query("WITH " + _HINT + ", f AS (" + " UNION ALL ".join(f"SELECT pid, '{c}' AS feld, {c} AS wert, ge_4, has_code, composite FROM x" for c in FIELDS) + "), l AS (" + " UNION ALL ".join(f"SELECT feld, wert, '{o}' AS ziel, {o} AS ausgang FROM f" for o in ("ge_4", "has_code", "composite")) + "), " + _odds("l", "feld, ziel", "wert", "ausgang"))
-def agg13_agg14_odds(spark: SparkSession, d: str) -> DataFrame:
-    """Odds ratios of two terms' field hints; agg13_agg14_odds_ganz has all terms."""
-    return hint_odds(spark, d, hints(spark, d))
-
-
 def hint_odds(spark: SparkSession, d: str, h: DataFrame) -> DataFrame:
     x = h.join(base(spark, d).select("pid", "ge_4", "has_code", "composite"), "pid")
     one = long_form(x, ["ge_4", "has_code", "composite"], list(FIELDS))
     return odds(long_form(one, ["feld", "wert"], ["ge_4", "has_code", "composite"], "ziel", "ausgang"), ["feld", "ziel"], "wert", "ausgang")
 
 
-@query(f"WITH {_HINT} SELECT {', '.join(f'round(avg({c}), 6) AS {c}' for c in FIELDS)}, round(avg(epikrise * diag), 6) AS beide FROM x")
-def agg16_praevalenz(spark: SparkSession, d: str) -> DataFrame:
-    """Prevalence of two terms' field hints; agg16_praevalenz_ganz has all terms."""
-    return hint_prevalence(spark, d, hints(spark, d))
-
-
 def hint_prevalence(spark: SparkSession, d: str, h: DataFrame) -> DataFrame:
     x = h.join(base(spark, d).select("pid"), "pid")
     return x.agg(*(F.round(F.avg(c), 6).alias(c) for c in FIELDS), F.round(F.avg(F.col("epikrise") * F.col("diag")), 6).alias("beide"))
 
 
-_TERMS = HINTS[:11]
-_OCC = lambda k, c="txt": f"((length(lower({c})) - length(replace(lower({c}), '{k}', ''))) // {len(k)})"
 _TXT = "concat_ws(' ', diag, epikrise, jetziges_leiden, prozedere)"
 
 
@@ -341,35 +293,16 @@ def counted_terms(spark: SparkSession, d: str, terms: tuple[str, ...]) -> DataFr
     return beside(one, base(spark, d).select("pid", "ge_4"))
 
 
-def keyword_rows(spark: SparkSession, d: str, terms: tuple[str, ...] = _TERMS) -> DataFrame:
+def keyword_rows(spark: SparkSession, d: str, terms: tuple[str, ...] = HINTS) -> DataFrame:
     """One row per report and term with its occurrences, from one pass over the text."""
     r = reports(spark, d).withColumn("txt", F.concat_ws(" ", *FIELDS))
     return r.select("report_nr", "pid", "typ", "klasse", F.explode(F.array(*(F.struct(F.lit(k).alias("begriff"), big(occurrences(F.col("txt"), k), "n")) for k in terms))).alias("x")).select("report_nr", "pid", "typ", "klasse", "x.begriff", "x.n")
 
 
-_KW = f"{_R}, t AS (SELECT report_nr, pid, typ, klasse, {_TXT} AS txt FROM r), k AS (" + " UNION ALL ".join(f"SELECT report_nr, pid, typ, klasse, '{k}' AS begriff, {_OCC(k)} AS n FROM t" for k in _TERMS) + ")"
-
-
-@query(f"WITH {_KW} SELECT begriff, CAST(sum(n) AS BIGINT) AS vorkommen, count(*) FILTER (n > 0) AS berichte, round(coalesce(avg(klasse) FILTER (n > 0), 0), 6) AS p_klasse FROM k GROUP BY 1")
-def agg17_agg19_begriffe(spark: SparkSession, d: str) -> DataFrame:
-    """Totals of the list's first eleven terms only; agg17_agg19_begriffe_ganz has all."""
-    return term_totals(keyword_rows(spark, d))
-
-
 def term_totals(k: DataFrame) -> DataFrame:
     return k.groupBy("begriff").agg(F.sum("n").alias("vorkommen"), F.count_if(F.col("n") > 0).alias("berichte"), F.round(F.coalesce(F.avg(F.when(F.col("n") > 0, F.col("klasse"))), F.lit(0.0)), 6).alias("p_klasse"))
 
 
-_SUB = f"{_KW}, {_B}, q AS (SELECT k.begriff, k.n, k.klasse, b.ge_4 FROM k JOIN b ON k.pid = b.pid)"
-
-
-@query(f"""WITH {_SUB}, u AS (SELECT 'alle' AS menge, begriff, n FROM q UNION ALL SELECT 'klasse_1', begriff, n FROM q WHERE klasse = 1 UNION ALL SELECT 'ge_4', begriff, n FROM q WHERE ge_4 = 1
-UNION ALL SELECT CASE WHEN klasse = 1 AND ge_4 = 1 THEN 'TP' WHEN klasse = 1 THEN 'FP' WHEN ge_4 = 1 THEN 'FN' ELSE 'TN' END, begriff, n FROM q) SELECT menge, begriff, CAST(sum(n) AS BIGINT) AS vorkommen, count(*) FILTER (n > 0) AS berichte FROM u GROUP BY ALL""")
-def agg18_agg20_mengen(spark: SparkSession, d: str) -> DataFrame:
-    """The first eleven terms by subset; agg18_agg20_mengen_ganz has all."""
-    return term_sets(counted_terms(spark, d, _TERMS))
-
-
 def term_sets(k: DataFrame) -> DataFrame:
     q = k.select("report_nr", "pid", "klasse", "ge_4", F.explode("begriffe").alias("x")).select("klasse", "ge_4", "x.begriff", "x.n")
     pos, ref = F.col("klasse") == 1, F.col("ge_4") == 1
@@ -377,12 +310,6 @@ def term_sets(k: DataFrame) -> DataFrame:
     return q.select("begriff", "n", F.explode(F.array_compact(sets)).alias("menge")).groupBy("menge", "begriff").agg(F.sum("n").alias("vorkommen"), F.count_if(F.col("n") > 0).alias("berichte"))
 
 
-@query(f"WITH {_KW} SELECT begriff, {', '.join(f'''CAST(coalesce(sum(n) FILTER (typ = '{t}'), 0) AS BIGINT) AS {t.lower()}''' for t in MATRIX_TYPES)} FROM k GROUP BY 1")
-def agg21_breit(spark: SparkSession, d: str) -> DataFrame:
-    """The first eleven terms by report type; agg21_breit_ganz has all."""
-    return terms_wide(keyword_rows(spark, d))
-
-
 def terms_wide(k: DataFrame) -> DataFrame:
     w = k.groupBy("begriff").pivot("typ", list(MATRIX_TYPES)).agg(F.sum("n")).fillna(0)
     return w.select("begriff", *(F.col(t).alias(t.lower()) for t in MATRIX_TYPES))
@@ -435,13 +362,6 @@ def agg31_fehlend(spark: SparkSession, d: str) -> DataFrame:
     return long_form(a, ["_n"], list(_MISS), "spalte", "fehlend").select("spalte", "fehlend", F.round(F.col("fehlend") / F.col("_n"), 6).alias("anteil"))
 
 
-@query(f"""WITH {_R}, w AS (SELECT unnest(regexp_extract_all(lower(epikrise), '[a-zäöüß]{{4,}}')) AS wort FROM r) SELECT wort, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, wort LIMIT 100""")
-def agg33_woerter(spark: SparkSession, d: str) -> DataFrame:
-    """The hundred most frequent words of four letters or more; ties by the word."""
-    w = reports(spark, d).select(F.explode(F.regexp_extract_all(F.lower("epikrise"), F.lit("([a-zäöüß]{4,})"), 1)).alias("wort"))
-    return w.groupBy("wort").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "wort").limit(100)
-
-
 _CATS = {"delir": "delir", "wachheit": "vigilanz|schläfrig|somnolent", "unruhe": "unruhig|agitiert|nestelnd", "orientierung": "orientiert|verwirrt"}
 
 
@@ -535,12 +455,6 @@ def win7_doppelte(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "structured_baseline").groupBy(clean_id("PatientenID").alias("pid")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-@query(f"WITH {_KW}, g AS (SELECT typ, begriff, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY ALL) SELECT typ, begriff, n, rn FROM (SELECT *, row_number() OVER (PARTITION BY typ ORDER BY n DESC, begriff) AS rn FROM g) WHERE rn <= 3")
-def srt2_spitze(spark: SparkSession, d: str) -> DataFrame:
-    """Three of the first eleven terms per report type; srt2_spitze_ganz keeps fifteen of all."""
-    return leading_terms(keyword_rows(spark, d), 3)
-
-
 def leading_terms(k: DataFrame, most: int) -> DataFrame:
     """Leading terms per report type; ties by the term."""
     g = k.groupBy("typ", "begriff").agg(F.sum("n").alias("n"))
@@ -554,25 +468,6 @@ def srt3_erste(spark: SparkSession, d: str) -> DataFrame:
     return reports(spark, d).filter("pid <> ''").groupBy("pid").agg(F.min("report_nr").alias("erster")).orderBy("erster").limit(20)
 
 
-_GRP = "CASE WHEN modell = 1 AND ge_4 = 1 THEN 'einig_positiv' WHEN modell = 1 THEN 'nur_modell' WHEN ge_4 = 1 THEN 'nur_basis' ELSE 'einig_negativ' END"
-
-
-@query(SQL["jn4_matrix"].replace("SELECT coalesce(m.pid", "SELECT * FROM (SELECT pid, gruppe, row_number() OVER (PARTITION BY gruppe ORDER BY pid) AS rn FROM (SELECT *, " + _GRP + " AS gruppe FROM (SELECT coalesce(m.pid", 1) + "))) WHERE rn <= 12")
-def srt5_stichprobe(spark: SparkSession, d: str) -> DataFrame:
-    """Twelve patients per exclusive group in id order."""
-    m = jn4_matrix(spark, d).select("pid", F.expr(_GRP).alias("gruppe"))
-    return rank_within(m, ["gruppe"], F.substring("pid", 1, 5), [F.col("pid")], "rn").filter("rn <= 12")
-
-
-@query(f"""SELECT 'ohne_id' AS pruefung, count(*) AS n FROM berichte WHERE {sql_id('"PatientID"')} = '' UNION ALL SELECT 'ohne_typ', count(*) FROM berichte WHERE {sql_label('bertyp')} = ''
-UNION ALL SELECT 'ohne_datum', count(*) FROM berichte WHERE {_DATE} IS NULL UNION ALL SELECT 'ohne_text', count(*) FROM berichte WHERE coalesce({', '.join(_text(c) for c in FIELDS)}) IS NULL""")
-def agg50_pruefungen(spark: SparkSession, d: str) -> DataFrame:
-    """Quality checks of the reports in one scan."""
-    r = reports(spark, d)
-    a = r.agg(F.count_if(F.col("pid") == "").alias("ohne_id"), F.count_if(F.col("typ") == "").alias("ohne_typ"), F.count_if(F.col("ts").isNull()).alias("ohne_datum"), F.count_if(F.coalesce(*FIELDS).isNull()).alias("ohne_text"))
-    return long_form(a, [], ["ohne_id", "ohne_typ", "ohne_datum", "ohne_text"], "pruefung", "n")
-
-
 # ---- text (TXT), JSON (JSN), dates (DT)
 
 
@@ -674,13 +569,6 @@ def srt1_sortiert(spark: SparkSession, d: str) -> DataFrame:
     return reports(spark, d).select("report_nr", "pid", "typ", "ts").orderBy("pid", F.col("ts").asc_nulls_last(), "report_nr")
 
 
-@query(f"""WITH {_R} SELECT report_nr, array_to_string(list_filter([{', '.join(f"CASE WHEN contains(lower({_TXT}), '{k}') THEN '{k}' END" for k in HINTS)}], lambda x: x IS NOT NULL)[1:12], ' || ') AS stellen FROM r""")
-def txt19_stellen(spark: SparkSession, d: str) -> DataFrame:
-    """Terms found per report in the list's order, joined."""
-    low = F.lower(F.concat_ws(" ", *FIELDS))
-    return reports(spark, d).select("report_nr", F.array_join(F.slice(F.array_compact(F.array(*(F.when(low.contains(k), F.lit(k)) for k in HINTS))), 1, 12), " || ").alias("stellen"))
-
-
 # ---- whole term lists and baselines; their SQL spells the lists out, so that it doesn't follow a cut of the tuples
 
 _ALL = "(VALUES ('delir'), ('delirium'), ('delirant'), ('delirös'), ('verwirrt'), ('verwirrtheit'), ('desorientiert'), ('desorientierung'), ('agitation'), ('agitiert'), ('unruhig'), ('vigilanz'), ('vigilanzminderung'), ('somnolent'), ('soporös'), ('bewusstseinsstörung'), ('bewusstseinstrübung'))"

@@ -23,9 +23,21 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what all executors must see; that of the checkpoints."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_checkpoint_dir(spark))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on the file system it names, local or shared."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there; computed once, whatever is lost later."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_checkpoint_dir(df.sparkSession))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from befundwerk.session import exists
+
 
 def slug(tag: str, most: int = 200) -> str:
     """A tag as part of a file name."""
@@ -20,7 +21,7 @@ def write_csv(df: DataFrame, columns: Sequence[str], path: str, tag: str | None
     """CSV in fixed column order; a second copy under the tag if one is given. Booleans become True and False."""
     out = df.select(*(F.when(F.col(c), "True").when(~F.col(c), "False").alias(c) if dict(df.dtypes)[c] == "boolean" else F.col(c) for c in columns))
     for p in [path] + ([f"{path}_{slug(tag)}"] if tag else []):
-        out.write.mode("overwrite").option("header", True).csv(p)
+        out.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"').csv(p)
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -28,6 +29,11 @@ def append_log(df: DataFrame, path: str) -> None:
     df.select(F.current_timestamp().alias("zeit"), F.to_json(F.struct("*")).alias("zeile")).write.mode("append").parquet(path)
 
 
+def failures(df: DataFrame, path: str, error: str = "fehler") -> None:
+    """The rows with an error as JSON lines, whole, for a later look; the others aren't written (SNK-4)."""
+    df.filter(F.col(error).isNotNull()).write.mode("append").json(path)
+
+
 def digest(df: DataFrame) -> str:
     """A content digest that doesn't depend on order or partitions; equal rows count as often as they occur."""
     h = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256), 1, 15), 16, 10).cast("decimal(38,0)")
@@ -46,7 +52,7 @@ def freeze(df: DataFrame, path: str, note: dict | None = None) -> dict:
 
 def frozen_or_live(spark: SparkSession, frozen: str, live: str) -> DataFrame:
     """The frozen table if there is one, else the live one."""
-    return spark.read.parquet(frozen if Path(frozen).exists() else live)
+    return spark.read.parquet(frozen if exists(spark, frozen) else live)
 
 
 def markdown(df: DataFrame, most: int = 200) -> str:
