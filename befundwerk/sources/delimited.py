@@ -46,7 +46,7 @@ def _from_cp1252(df: DataFrame) -> DataFrame:
 
 def _raw_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Every line with its bytes as the signs of the same numbers, from splittable tasks."""
-    reader = spark.read.option("sep", "\x00").option("quote", "").option("encoding", "ISO-8859-1").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("maxColumns", 2)
+    reader = spark.read.option("sep", "\x1e").option("quote", "").option("encoding", "ISO-8859-1").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     return reader.schema("zeile string").csv(list(paths))
 
 
@@ -62,7 +62,7 @@ def detect_encoding(spark: SparkSession, paths: Sequence[str]) -> str:
 
 def _names(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:
     """The header of a file: its first line, read where the file is."""
-    first = spark.read.option("sep", "\x00").option("quote", "").option("encoding", _JVM[encoding]).schema("zeile string").csv(path).head(1)
+    first = spark.read.option("sep", "\x1e").option("quote", "").option("encoding", _JVM[encoding]).schema("zeile string").csv(path).head(1)
     line = (first[0][0] or "") if first else ""
     return [c.strip().strip('"') for c in line.lstrip("\ufeff").lstrip("ï»¿").rstrip("\r").split(sep)]
 
