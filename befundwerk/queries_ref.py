@@ -234,7 +234,7 @@ def hints_by_score(spark: SparkSession, d: str, terms: tuple[str, ...]) -> DataF
 @query(f"""WITH {_B}, sb AS (SELECT {sql_id('"PatientenID"')} AS pid, baseline_nr, max_icdsc, row_number() OVER (PARTITION BY {sql_id('"PatientenID"')} ORDER BY baseline_nr) AS rn FROM structured_baseline)
 SELECT coalesce(b.pid, sb.pid) AS pid, coalesce(sb.max_icdsc, b.max_score) AS wert, CASE WHEN b.max_score IS NOT DISTINCT FROM sb.max_icdsc THEN 'gleich' ELSE 'unterschied' END AS befund FROM b FULL JOIN (SELECT * FROM sb WHERE rn = 1) sb ON b.pid = sb.pid""")
 def jn13_jn18_abgleich(spark: SparkSession, d: str) -> DataFrame:
-    """Derived and delivered baseline: delivered values override, differences are named; of repeated ids the first row counts, unchecked (JN-18, SRC-6; not JN-13)."""
+    """Derived and delivered baseline: delivered values override, differences are named; of repeated ids the first row counts (JN-18, SRC-6; jn13_urteile checks)."""
     sb = table(spark, d, "structured_baseline").groupBy(clean_id("PatientenID").alias("pid")).agg(F.min_by(F.struct("max_icdsc"), "baseline_nr").alias("x"))
     j = base(spark, d).select("pid", "max_score").join(sb.select("pid", F.col("x.max_icdsc").alias("m")), "pid", "outer")
     return j.select("pid", F.coalesce("m", "max_score").alias("wert"), F.when(F.col("max_score").eqNullSafe(F.col("m")), "gleich").otherwise("unterschied").alias("befund"))
@@ -252,7 +252,7 @@ def jn17_semi(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_R}, t AS (SELECT pid, (row_number() OVER (PARTITION BY pid ORDER BY eingang NULLS LAST, report_nr) - 1) // 50 AS teil, eingang, report_nr, {_STITCH} AS txt FROM r)
 SELECT pid, teil, count(*) AS berichte, md5(string_agg(txt, chr(10) || chr(10) ORDER BY eingang NULLS LAST, report_nr)) AS inhalt FROM t WHERE txt <> '' GROUP BY ALL""")
 def agg3_agg4_patiententext(spark: SparkSession, d: str) -> DataFrame:
-    """A patient's texts in order of arrival, in parts of 50 reports, so no group grows without bound (AGG-3, AGG-4, AGG-48)."""
+    """A patient's texts in order of arrival, in parts of 50 reports, so no group grows without bound (AGG-3 in parts; agg3_patiententext_ganz has whole texts)."""
     r = rank_within(reports(spark, d).select("report_nr", "pid", "eingang", stitched().alias("t")), ["pid"], F.to_date("eingang"), [F.col("eingang").asc_nulls_last(), F.col("report_nr")])
     g = r.filter("t IS NOT NULL").groupBy("pid", F.floor((F.col("lfd") - 1) / 50).cast("bigint").alias("teil"))
     rows = F.array_sort(F.collect_list(F.struct("lfd", "t")))
@@ -326,14 +326,14 @@ def venn(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_SETS} SELECT berichte, icd, icdsc, count(*) AS n FROM v GROUP BY ALL")
 def agg29_agg30_venn(spark: SparkSession, d: str) -> DataFrame:
-    """All regions of three id sets (AGG-27, AGG-28, AGG-29, AGG-30, SET-1..4)."""
+    """All regions of three id sets (AGG-27, AGG-30)."""
     return venn(spark, d).groupBy("berichte", "icd", "icdsc").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {_SETS} SELECT count(*) FILTER (berichte = 1) AS patienten, count(*) FILTER (icd = 1 OR icdsc = 1) AS mit_basis, count(*) FILTER (berichte = 1 AND (icd = 1 OR icdsc = 1)) AS beides, count(*) FILTER (berichte = 1 AND icd = 0 AND icdsc = 0) AS nur_berichte,
 count(*) FILTER (berichte = 0) AS nur_basis, round(100.0 * count(*) FILTER (berichte = 1 AND (icd = 1 OR icdsc = 1)) / nullif(count(*) FILTER (berichte = 1), 0), 6) AS abdeckung FROM v""")
 def agg22_agg23_abdeckung(spark: SparkSession, d: str) -> DataFrame:
-    """Cohort counts and coverage (AGG-22, AGG-23, AGG-24)."""
+    """Cohort counts and coverage (AGG-22; lists in agg23_ohne_partner)."""
     b, x = F.col("berichte") == 1, (F.col("icd") == 1) | (F.col("icdsc") == 1)
     c = venn(spark, d).agg(F.count_if(b).alias("patienten"), F.count_if(x).alias("mit_basis"), F.count_if(b & x).alias("beides"), F.count_if(b & ~x).alias("nur_berichte"), F.count_if(~b).alias("nur_basis"))
     return c.withColumn("abdeckung", F.round(100.0 * F.col("beides") / F.when(F.col("patienten") > 0, F.col("patienten")), 6))
@@ -347,7 +347,7 @@ def agg25_haeufigkeit(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH g AS (SELECT {sql_id('"PatientID"')} AS pid, count(*) AS n FROM icd GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS zeilen, count(*) AS ids, max(n) AS meist, round(avg(n), 6) AS mittel, CAST(quantile_cont(n, 0.5) AS DOUBLE) AS median, count(*) FILTER (n > 1) AS mehrfach FROM g WHERE pid <> ''""")
 def agg25_agg26_umfang(spark: SparkSession, d: str) -> DataFrame:
-    """Rows, ids, largest, mean, exact median (AGG-25, AGG-26, AGG-32)."""
+    """Rows, ids, largest, mean, exact median (AGG-25)."""
     g = table(spark, d, "icd").groupBy(clean_id("PatientID").alias("pid")).agg(F.count(F.lit(1)).alias("n")).filter("pid <> ''")
     return g.agg(F.sum("n").alias("zeilen"), F.count(F.lit(1)).alias("ids"), F.max("n").alias("meist"), F.round(F.avg("n"), 6).alias("mittel"), F.percentile("n", 0.5).alias("median"), F.count_if(F.col("n") > 1).alias("mehrfach"))
 
@@ -420,7 +420,7 @@ _ERR = f"{_CMP}, l AS ({_long('j', 'report_nr, pid, klasse, da', ('code_flag', '
 
 @query(f"WITH {_ERR} SELECT feld, art, count(*) AS n FROM e GROUP BY ALL")
 def agg44_agg45_fehler(spark: SparkSession, d: str) -> DataFrame:
-    """Error kinds per baseline (AGG-44, AGG-45, AGG-46)."""
+    """Error kinds per baseline (AGG-44)."""
     return error_kinds(spark, d).groupBy("feld", "art").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -612,7 +612,7 @@ def _field_hints(terms: str) -> str:
 
 @query(f"WITH {_field_hints(_ANY_PLAIN)} SELECT epikrise AS epikrise_hinweis, ge_4, count(*) AS n FROM x GROUP BY ALL")
 def jn8_hinweise_ganz(spark: SparkSession, d: str) -> DataFrame:
-    """Patient hints joined with the baseline (JN-8, JN-9)."""
+    """Patient hints joined with the baseline (JN-8)."""
     return hints_by_score(spark, d, FIELD_HINTS)
 
 
