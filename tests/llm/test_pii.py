@@ -1,4 +1,4 @@
-"""Personal data beyond the register: names, numbers and addresses that no list here holds, found and redacted."""
+"""Personal data beyond the register: surnames that no list holds, behind roles and given names that the parsers list; found and redacted."""
 
 import random
 
@@ -6,7 +6,7 @@ import pytest
 
 from befundwerk.llm.pii import Finder, account_digits, redact
 
-#: Surnames, given names and places of this file only; the finder knows the first two of either.
+#: The finder is told the first two of either; the other given names are in its list, the other surnames nowhere.
 FAMILY = ["Zogg", "Ng", "Marti", "Odermatt", "Vonlanthen", "Yildiz", "Petrovic", "Schüpbach", "Aebi", "Camenzind", "Nguyen", "Rüegsegger"]
 CALLED = ["Reto", "Bo", "Hans", "Anna", "Peter", "Ursula", "Verena", "Markus"]
 
@@ -47,7 +47,7 @@ def test_whole_local_parts_and_accounts(finder):
 
 
 def test_held_out_texts_are_found_and_redacted(finder):
-    """Templates and names that were not used to write the parsers: recall and precision by mention, and the redacted text itself."""
+    """Templates that were written after the parsers, by the same hand: recall and precision by mention, and the redacted text itself."""
     rng = random.Random(11)
     name = lambda: rng.choice(FAMILY)
     forms = [
